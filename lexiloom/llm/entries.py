@@ -1,13 +1,27 @@
 """The queries of this package and their SQL."""
 
-from . import chat
+from lexiloom.session import ship_package
 
-QUERIES = {"op5_chat_windows": chat.op5_chat_windows}
+from . import binary_output, chat, packing
+
+QUERIES = {
+    "op5_chat_windows": chat.op5_chat_windows,
+    "op6_token_files": binary_output.op6_token_files,
+    "op10_packing": packing.op10_packing,
+}
 SQL = {"op5_chat_windows": chat.OP5_SQL}
 
 
+def _shipped(query):
+    def run(spark, sf_dir):
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries():
-    return dict(QUERIES)
+    return {name: _shipped(query) for name, query in QUERIES.items()}
 
 
 def oracle_sql():
