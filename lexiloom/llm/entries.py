@@ -2,11 +2,14 @@
 
 from lexiloom.session import ship_package
 
-from . import binary_output, chat, packing
+from . import binary_output, chat, language_id, packing, quality, sentencepieces
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op5_chat_windows": chat.op5_chat_windows,
     "op6_token_files": binary_output.op6_token_files,
+    "op7_sentencepiece": sentencepieces.op7_sentencepiece,
+    "op8_language_id": language_id.op8_language_id,
     "op10_packing": packing.op10_packing,
 }
 SQL = {"op5_chat_windows": chat.OP5_SQL}
