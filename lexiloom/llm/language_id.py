@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fold, table
 from .textstats import ngram_counts
@@ -127,10 +128,8 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             more = [pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "lang_pred", "score", "ambiguous"])
 
-    schema = kept.schema
-    for name, kind in (("lang_pred", "string"), ("score", "double"), ("ambiguous", "boolean")):
-        schema = schema.add(name, kind)
-    return kept.mapInArrow(run, schema)
+    more = T.StructType().add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
+    return kept.mapInArrow(run, T.StructType(kept.schema.fields + more.fields))
 
 
 def held_out(column: str = "doc_id"):

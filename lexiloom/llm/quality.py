@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fold, table
 from .textstats import SPACES, blocks, hash_spans, spans, word_hashes
@@ -164,7 +165,8 @@ def score(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
             more = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "score", "predicted"])
 
-    return kept.mapInArrow(run, kept.schema.add("score", "double").add("predicted", "int"))
+    more = T.StructType().add("score", "double").add("predicted", "integer")
+    return kept.mapInArrow(run, T.StructType(kept.schema.fields + more.fields))
 
 
 def held_out(column: str = "doc_id"):
