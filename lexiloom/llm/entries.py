@@ -2,11 +2,13 @@
 
 from lexiloom.session import ship_package
 
-from . import binary_output, chat, language_id, minhash, packing, quality, sentencepieces
+from . import binary_output, chat, language_id, minhash, multi_index, neighbours, packing, quality, sentencepieces
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_minhash": minhash.op2_minhash,
+    "op3_neighbours": neighbours.op3_neighbours,
+    "op4_multi_index": multi_index.op4_multi_index,
     "op5_chat_windows": chat.op5_chat_windows,
     "op6_token_files": binary_output.op6_token_files,
     "op7_sentencepiece": sentencepieces.op7_sentencepiece,

@@ -121,10 +121,10 @@ class _Joined:
         return i != j
 
 
-def similar_links(sets: list[np.ndarray], keys: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def similar_links(sets: list[np.ndarray], keys: np.ndarray, side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
     """Confirmed links that join components, among pairs of places that share a band.
 
-    Pairs of one side are left out where there are two: another task has them."""
+    With sides given, pairs of one side are left out: another task has them."""
     n = len(sets)
     size = np.array([len(s) for s in sets])
     flat, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
@@ -140,12 +140,11 @@ def similar_links(sets: list[np.ndarray], keys: np.ndarray, side: np.ndarray, pe
         np.bitwise_or.at(matrix, (owner[keep], c >> 3), (1 << (c & 7)).astype(np.uint8))
         matrix = matrix.view(np.uint64)
     joined, links = _Joined(n), []
-    two = len(np.unique(side)) > 1
     for i in range(n - 1):
         later = (keys[i + 1 :] == keys[i]).any(1)
         # |A & B| <= min and |A | B| >= max
         later &= 100 * np.minimum(size[i], size[i + 1 :]) >= percent * np.maximum(size[i], size[i + 1 :])
-        if two:
+        if side is not None:
             later &= side[i + 1 :] != side[i]
         others = np.flatnonzero(later) + i + 1
         if not len(others):
@@ -216,7 +215,8 @@ def _verified(placed: DataFrame, words: int, percent: int) -> DataFrame:
         if len(ids) > 1:
             found = [np.frombuffer(x.as_py(), np.uint64) for x in rows["shingles"]]
             keys = np.stack([np.frombuffer(x.as_py(), np.int64) for x in rows["keys"]])
-            links = similar_links(found, keys, rows["block"].to_numpy(), percent)
+            side = rows["block"].to_numpy() if key[1] != key[2] else None
+            links = similar_links(found, keys, side, percent)
         return pa.table({"a": pa.array([ids[i] for i, _ in links], pa.int64()), "b": pa.array([ids[j] for _, j in links], pa.int64())})
 
     return dealt.groupBy("cluster", "low", "high").applyInArrow(confirm, "a long, b long")
