@@ -2,7 +2,7 @@
 
 from lexiloom.session import ship_package
 
-from . import binary_output, chat, language_id, minhash, multi_index, neighbours, packing, quality, sentencepieces
+from . import binary_output, chat, language_id, minhash, multi_index, neighbours, packing, quality, sentencepieces, suffix_dedup
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_token_files": binary_output.op6_token_files,
     "op7_sentencepiece": sentencepieces.op7_sentencepiece,
     "op8_language_id": language_id.op8_language_id,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_packing": packing.op10_packing,
 }
 SQL = {"op5_chat_windows": chat.OP5_SQL}
