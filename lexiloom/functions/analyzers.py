@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .stemmer import stem
 
@@ -42,7 +43,7 @@ def plain_tokens(text: Column) -> Column:
     return F.filter(basic_tokens(text), lambda t: ~t.isin(STOP_WORDS))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stem_udf(words: pd.Series) -> pd.Series:
     return words.map(stem, na_action="ignore")
 
@@ -80,7 +81,7 @@ def query_error(query: Column, longest: int = 200) -> Column:
 
 def title_from_url(url: Column) -> Column:
     """The last path segment with ``-`` and ``_`` as spaces, else the host."""
-    path = F.rtrim(F.lit("/"), F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1))
+    path = F.regexp_replace(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), "/+$", "")
     last = F.trim(F.translate(F.element_at(F.split(path, "/"), -1), "-_", "  "))
     host = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)
     return F.when(last != "", last).otherwise(host)

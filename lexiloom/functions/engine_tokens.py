@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .analyzers import ENGINE_STOP_WORDS
 from .stemmer import stem
@@ -50,6 +51,6 @@ def engine_tokens(text: str) -> list[str]:
     return [stem(w.lower()) for w in surface_tokens(text) if w.lower() not in _STOP]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def engine_tokens_udf(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: engine_tokens(t or ""))

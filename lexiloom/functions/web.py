@@ -9,6 +9,7 @@ from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit, urlunsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexiloom.config import MAX_URL
 
@@ -44,7 +45,7 @@ def normalized(url: str | None) -> str | None:
     return urlunsplit((scheme, shown, u.path or "/", urlencode(params), ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_url_udf(urls: pd.Series) -> pd.Series:
     return urls.map(normalized)
 

@@ -42,8 +42,9 @@ def politeness_slots(requests: DataFrame, host: str, at: str, order: list[str],
     The recursion ``slot = max(arrival, last slot + delay)`` is the running maximum of ``arrival - i * delay`` plus ``i * delay``."""
     w = Window.partitionBy(host).orderBy(at, *order)
     numbered = requests.withColumn("_i", F.row_number().over(w) - 1)
-    running = F.max(F.col(at) - F.col("_i") * delay).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return numbered.withColumn("slot", running + F.col("_i") * delay).drop("_i")
+    waited = F.col("_i").cast("long") * delay
+    running = F.max(F.col(at) - waited).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return numbered.withColumn("slot", running + waited).drop("_i")
 
 
 def rate_limited(requests: DataFrame, client: str, ts: str, order: list[str], limit: int = RATE_PER_MINUTE) -> DataFrame:
