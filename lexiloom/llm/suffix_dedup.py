@@ -290,8 +290,9 @@ def _cut(docs: DataFrame, schema: str, make) -> DataFrame:
         a = joined((p for p in group["payload"] if p.is_valid), SPAN)
         order = np.lexsort([a["lo"], a["row"]])
         a = {k: v[order] for k, v in a.items()}
-        row, out = 0, []
-        for batch in _open(shared.value[group["target"][0].as_py()]).iter_batches(512):
+        file = _open(shared.value[group["target"][0].as_py()])
+        row, out = 0, [make(pa.RecordBatch.from_pylist([], file.schema_arrow), [], [])]  # a file may be empty
+        for batch in file.iter_batches(512):
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             cut = np.searchsorted(a["row"], np.arange(row, row + len(texts) + 1))
             spans = [removal(len(t), a["lo"][i:j], a["more"][i:j]) for t, i, j in zip(texts, cut[:-1], cut[1:], strict=True)]
@@ -317,7 +318,7 @@ def digests(docs: DataFrame) -> DataFrame:
                 "n_bytes": pa.array([len(t) for t in texts], pa.int64()),
                 "n_removed": pa.array([int((e - s).sum()) for s, e in spans], pa.int64()),
                 "n_spans": pa.array([len(s) for s, _ in spans], pa.int64()),
-                "kept_sha256": [hashlib.sha256(_kept(t, s)).hexdigest() for t, s in zip(texts, spans, strict=True)],
+                "kept_sha256": pa.array([hashlib.sha256(_kept(t, s)).hexdigest() for t, s in zip(texts, spans, strict=True)], pa.string()),
             }
         )
 
