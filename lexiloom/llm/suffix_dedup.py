@@ -261,7 +261,8 @@ def find_spans(spark: SparkSession, paths: list[str]) -> DataFrame:
         contexts = {k: np.concatenate([p[0][k] for p in parts]) for k in CONTEXT}
         return pa.Table.from_pylist(repeated_windows(contexts, b"".join(p[1] for p in parts), scratch), _SCHEMA)
 
-    sorted_out = wanted.groupBy("target").applyInArrow(fetch, ROW).groupBy("target").applyInArrow(sort, ROW)
+    # The payloads are small beside the files that a task reads for them: as many tasks as files, not as bytes ask for.
+    sorted_out = wanted.repartition(len(paths), "target").groupBy("target").applyInArrow(fetch, ROW).groupBy("target").applyInArrow(sort, ROW)
     return found.filter(F.col("kind") == SPANS).unionByName(sorted_out).select("target", "payload")
 
 
@@ -300,7 +301,7 @@ def _cut(docs: DataFrame, schema: str, make) -> DataFrame:
             row += len(texts)
         return pa.concat_tables(out)
 
-    return files.unionByName(find_spans(spark, paths)).groupBy("target").applyInArrow(run, schema)
+    return files.unionByName(find_spans(spark, paths)).repartition(len(paths), "target").groupBy("target").applyInArrow(run, schema)
 
 
 def _kept(text: bytes, spans: tuple[np.ndarray, np.ndarray]) -> bytes:
