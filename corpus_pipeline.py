@@ -14,19 +14,27 @@ from lexiloom.llm.common import materialize, table
 from lexiloom.session import ship_package
 
 
+def _apart(docs: DataFrame) -> tuple[DataFrame, list]:
+    """``docs`` with all columns but the text under names that nothing else has, and what restores them."""
+    names = {c: f"_{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    apart = docs.select("text", *(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    return apart, [F.col(names[c]).alias(c) if c in names else F.col(c) for c in docs.columns]
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is undetermined go; ambiguous ones stay."""
     ship_package(spark)
     model = language_id.train(docs.select("doc_id", "text", "lang").filter(~language_id.held_out()))
-    found = language_id.identify(docs.withColumnRenamed("lang", "lang_given"), model)
-    return found.filter(F.col("lang_pred") != language_id.UNDETERMINED).withColumnRenamed("lang_given", "lang").select(*docs.columns)
+    apart, restored = _apart(docs)
+    return language_id.identify(apart, model).filter(F.col("lang_pred") != language_id.UNDETERMINED).select(*restored)
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score below one half go."""
     ship_package(spark)
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(~quality.held_out())
-    return quality.score(docs, quality.train(docs, labels)).filter("predicted = 1").select(*docs.columns)
+    apart, restored = _apart(docs)
+    return quality.score(apart, quality.train(docs, labels)).filter("predicted = 1").select(*restored)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
