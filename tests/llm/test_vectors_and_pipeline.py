@@ -95,7 +95,7 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(out[0]) == set(range(80)) and set(out[1]) == set(range(60))
     assert set(out[2]) == set(range(60)) - {10} and set(out[3]) == set(out[2])
     assert passage in out[3][20].text and passage not in out[3][30].text and out[3][30].n_chars == len(out[3][30].text)
-    assert all(out[3][i].text == texts[i] for i in out[3] if i != 30)
+    assert all(out[3][i].text == texts[i] and out[3][i].score == "kept" for i in out[3] if i != 30)
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == set(out[3])
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "quality classifier", "MinHash near-dedup", "suffix-array dedup", "best-fit packing"]
