@@ -180,8 +180,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     placed = in_cluster.join(blocks, "cluster").select(
         F.col("class_id").alias("doc_id"), "cluster", "n_blocks", F.pmod(F.xxhash64("class_id"), F.col("n_blocks")).cast("int").alias("block")
     )
-    # One plan at every size: broadcasting the ids while they are few would let the shuffle grow in a step.
-    links = materialize(_verified(texts.join(placed.hint("merge"), "doc_id"), words, percent), "links")
+    # One plan at every size, which sorts no texts: the ids are hashed, each partition having a few.
+    links = materialize(_verified(texts.join(placed.hint("shuffle_hash"), "doc_id"), words, percent), "links")
     # Copies of one id with differing texts, and classes through their links.
     members = sketched.join(classes.select("digest", "class_id"), "digest", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
     joined = components(links.union(members.filter("doc_id <> class_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))))
