@@ -53,12 +53,12 @@ def main() -> None:
     own = index.Index.load(spark, f"{folder}/index")
     own = index.Index(own.postings, own.lengths.cache(), own.stats.cache())
     done(own.lengths.join(own.stats))
-    ranks = search.ranks(spark, sf_dir).cache()
+    ranks = scoring.normalized_pagerank(search.ranks(spark, sf_dir)).select("doc_id", "pagerank_norm").cache()
     done(ranks)
 
     def lexical(query: StructuredQuery):
         posted = own.postings.filter(F.col("term").isin(retrieval.terms_of(query)))
-        found = retrieval.retrieve(posted, own.lengths, query)
+        found = None if query.any_of_terms else retrieval.retrieve(posted, own.lengths, query)
         scored = scoring.bm25(found, posted, own.lengths, own.stats, query.scored_terms)
         return scoring.fuse(scored, ranks)
 

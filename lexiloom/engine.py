@@ -34,7 +34,8 @@ class SearchEngine:
 
     def __init__(self, docs: DataFrame, ranks: DataFrame, embeddings: DataFrame | None = None, embed=None, index: Index | None = None):
         self.docs = docs.withColumn("text", analyzers.whole_text(F.col("title"), F.col("content")))
-        self.ranks, self.embeddings, self.embed = ranks, embeddings, embed
+        self.ranks = scoring.normalized_pagerank(ranks, SERVER_FUSION.flat_pagerank).select("doc_id", "pagerank_norm").cache()
+        self.embeddings, self.embed = embeddings, embed
         self.index = index or Index.build(self.docs, "query")
         self.vocab = vocabulary(self.docs)
         self.cache: OrderedDict[str, Outcome] = OrderedDict()
@@ -87,7 +88,7 @@ class SearchEngine:
         if not query.searchable:
             return Outcome("no_results", message="No searchable terms.")
         posted = self.index.postings.filter(F.col("term").isin(retrieval.terms_of(query)))
-        candidates = retrieval.retrieve(posted, self.index.lengths, query)
+        candidates = None if query.any_of_terms else retrieval.retrieve(posted, self.index.lengths, query)
         scored = scoring.bm25(candidates, posted, self.index.lengths, self.index.stats, query.scored_terms)
         hits = None
         for terms in query.phrases:

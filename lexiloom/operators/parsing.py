@@ -41,6 +41,11 @@ class StructuredQuery:
     def searchable(self) -> bool:
         return bool(self.required or self.optional or self.phrases)
 
+    @property
+    def any_of_terms(self) -> bool:
+        """Nothing but optional terms: the candidates are the documents that score."""
+        return bool(self.optional) and not (self.required or self.excluded or self.phrases or self.excluded_phrases)
+
     @property
     def scored_terms(self) -> list[str]:
         return list(dict.fromkeys(self.required + self.optional))

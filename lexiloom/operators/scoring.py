@@ -23,15 +23,18 @@ def idf_table(posted: DataFrame, stats: DataFrame) -> DataFrame:
     return df.join(F.broadcast(stats)).select("term", "df", idf(F.col("n_docs"), F.col("df")).alias("idf"))
 
 
-def bm25(candidates: DataFrame, posted: DataFrame, lengths: DataFrame, stats: DataFrame, terms: list[str], params: BM25 = BM25()) -> DataFrame:
+def bm25(candidates: DataFrame | None, posted: DataFrame, lengths: DataFrame, stats: DataFrame, terms: list[str], params: BM25 = BM25()) -> DataFrame:
     """``doc_id, bm25`` for each candidate, over distinct terms; 0 where none occurs.
 
-    ``posted`` may have other terms too; idf is over all of its documents."""
+    Without candidates, for each document that has a term: those are the candidates of an OR query, and
+    need no retrieval of their own.  ``posted`` may have other terms too; idf is over all of its documents."""
     own = posted.filter(F.col("term").isin(sorted(set(terms))))
     weights = F.broadcast(idf_table(own, stats))  # a row a query term
     hits = own.select("term", "doc_id", "tf").join(weights, "term").join(lengths, "doc_id").join(F.broadcast(stats.select("avgdl")))
     one = F.col("idf") * term_score(F.col("tf"), F.col("dl"), F.col("avgdl"), params.k1, params.b)
     summed = hits.groupBy("doc_id").agg(F.sum(one).alias("bm25"))
+    if candidates is None:
+        return summed
     return candidates.join(summed, "doc_id", "left").select("doc_id", F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
 
 
@@ -56,9 +59,11 @@ def normalized_pagerank(ranks: DataFrame, flat: float = 1.0) -> DataFrame:
 def fuse(scored: DataFrame, ranks: DataFrame, phrase_hits: DataFrame | None = None, weights: Fusion = SERVER_FUSION) -> DataFrame:
     """``doc_id, bm25_norm, pagerank_norm, phrase_bonus, score`` of candidates with ``bm25``.
 
-    A candidate without PageRank counts 0; the bonus is given once if any phrase matches."""
+    A candidate without PageRank counts 0; the bonus is given once if any phrase matches.  ``ranks`` may
+    have ``pagerank_norm`` already, as an engine works it out once."""
     out = minmax_over(scored, "bm25", "bm25_norm")
-    out = out.join(normalized_pagerank(ranks, weights.flat_pagerank).select("doc_id", "pagerank_norm"), "doc_id", "left")
+    norm = ranks if "pagerank_norm" in ranks.columns else normalized_pagerank(ranks, weights.flat_pagerank)
+    out = out.join(norm.select("doc_id", "pagerank_norm"), "doc_id", "left")
     out = out.withColumn("pagerank_norm", F.coalesce("pagerank_norm", F.lit(0.0)))
     if phrase_hits is None:
         out = out.withColumn("phrase_bonus", F.lit(0.0))
