@@ -187,24 +187,43 @@ def nearest(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     def rank(group: pa.Table) -> pa.Table:
         asked = group.filter(pa.compute.is_valid(group["query_id"]))
         held = group.filter(pa.compute.is_valid(group["ids"]))
-        found: list[list] = [[], []]
+        owners, lengths, scores, hits = [], [], [], []
         if asked.num_rows and held.num_rows:
             q, x, ids = matrix(asked["embedding"], n), matrix(held["embedding"], n), held["ids"].to_pylist()
-            query_ids = asked["query_id"].to_pylist()
+            own = asked["query_id"].to_numpy()
+            alone = np.array([len(i) == 1 for i in ids])
+            smallest = np.array([i[0] for i in ids])
             most = min(k + 2, len(x))  # one may be the query alone, and one more for the cut's rounding
             for at in range(0, len(q), 256):
-                scores = q[at : at + 256] @ x.T
-                top = np.argpartition(-scores, most - 1, axis=1)[:, :most]
-                for own, row, vector in zip(query_ids[at : at + 256], top, q[at : at + 256], strict=True):
-                    exact = (x[row] * vector).sum(1)  # the same sum for a pair wherever it meets
-                    each = sorted((-s, v) for s, r in zip(exact.tolist(), row.tolist(), strict=True) for v in ids[r] if v != own)
-                    found[0].append(own)
-                    found[1].append([{"s": s, "v": v} for s, v in each[:k]])
-        kind = pa.list_(pa.struct([("s", pa.float64()), ("v", pa.int64())]))
-        return pa.table({"query_id": pa.array(found[0], pa.int64()), "best": pa.array(found[1], kind)})
+                part, names = q[at : at + 256], own[at : at + 256]
+                top = np.argpartition(-(part @ x.T), most - 1, axis=1)[:, :most]
+                exact = (x[top] * part[:, None]).sum(2)  # the same sum for a pair wherever it meets
+                for r in np.flatnonzero(~alone[top].all(1)):
+                    each = sorted((-s, v) for s, i in zip(exact[r].tolist(), top[r].tolist(), strict=True) for v in ids[i] if v != names[r])[:k]
+                    owners.append(names[r : r + 1])
+                    lengths.append(np.array([len(each)]))
+                    scores.append(np.array([s for s, _ in each]))
+                    hits.append(np.array([v for _, v in each], np.int64))
+                simple = alone[top].all(1)
+                top, minus, names = smallest[top[simple]], -exact[simple], names[simple]
+                minus = np.where(top == names[:, None], np.inf, minus)
+                order = np.lexsort((top, minus), axis=1)[:, :k]
+                top, minus = np.take_along_axis(top, order, 1), np.take_along_axis(minus, order, 1)
+                kept = minus < np.inf
+                owners.append(names)
+                lengths.append(kept.sum(1))
+                scores.append(minus[kept])
+                hits.append(top[kept])
+        joined = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.empty(0, kind)
+        ends = np.append(0, np.cumsum(joined(lengths, np.int32))).astype(np.int32)
+        pairs = pa.StructArray.from_arrays([pa.array(joined(scores, np.float64)), pa.array(joined(hits, np.int64))], ["s", "v"])
+        return pa.table({"query_id": pa.array(joined(owners, np.int64)), "best": pa.ListArray.from_arrays(pa.array(ends), pairs)})
 
     ranked = together.groupBy("tree", "leaf", "part", "query_part").applyInArrow(rank, "query_id long, best array<struct<s:double,v:long>>")
-    merged = ranked.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k).alias("best"))
+    # A pair that several trees found has the same score in each: sorted, its repeats stand side by side.
+    merged = ranked.groupBy("query_id").agg(F.sort_array(F.flatten(F.collect_list("best"))).alias("found"))
+    new = F.filter("found", lambda x, i: (i == 0) | (x != F.get("found", i - 1)))
+    merged = merged.select("query_id", F.slice(new, 1, k).alias("best"))
     each = merged.select("query_id", F.posexplode("best").alias("rank", "hit"))
     return each.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("hit.v").alias("vec_id"), (-F.col("hit.s")).alias("score"))
 
