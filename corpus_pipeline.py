@@ -22,11 +22,11 @@ def _apart(docs: DataFrame) -> tuple[DataFrame, list]:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is undetermined go; ambiguous ones stay."""
+    """Documents without a letter, or of none of the learned languages as the decoder has it, go; those between two languages stay."""
     ship_package(spark)
     model = language_id.train(docs.select("doc_id", "text", "lang").filter(~language_id.held_out()))
     apart, restored = _apart(docs)
-    return language_id.identify(apart, model).filter(F.col("lang_pred") != language_id.UNDETERMINED).select(*restored)
+    return language_id.identify(apart, model, strict=True).filter(F.col("lang_pred") != language_id.UNDETERMINED).select(*restored)
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,10 @@ classifier's margin against the bit, weighted by how well that classifier did on
 The score is the softmax of the negative costs; a text whose two cheapest codewords lie closer than
 ``AMBIGUOUS`` in score is flagged.
 
+The decoder can also reject: a text whose cheapest codeword costs more than ``limit`` is of none of the
+languages, and ``strict`` identification says ``und``.  The limit lies above the cost of every training
+row, at the share ``REJECT`` of the way to the cost of a text that the classifiers know nothing of.
+
 The classifiers are fitted on about ``SAMPLE`` rows of each language, chosen by a hash of the id; the
 prediction reads every text whole.
 
@@ -33,6 +37,7 @@ from .textstats import ngram_counts
 ORDERS, BITS, SAMPLE, MOST_LANGUAGES = (2, 3, 4), 13, 1000, 200
 STEPS, RATE, DECAY = 80, 12.0, 1e-4
 AMBIGUOUS = 0.2
+REJECT = 0.75
 UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -51,20 +56,28 @@ def features(text: str) -> np.ndarray:
     return counts / max(1.0, float(np.linalg.norm(counts)))
 
 
+def costs(margin: np.ndarray, code: np.ndarray, trust: np.ndarray) -> np.ndarray:
+    """What each codeword costs a text with these margins."""
+    return (np.logaddexp(0, -code * margin) * trust).sum(1)
+
+
 @dataclass
 class LanguageModel:
     languages: list[str] = field(default_factory=list)
     weights: np.ndarray | None = None  # feature by bit
     bias: np.ndarray | None = None
     trust: np.ndarray | None = None  # of each bit, adding up to the number of bits
+    limit: float = float("inf")  # of the cheapest codeword's cost
 
-    def predict(self, text: str | None) -> tuple[str, float, bool]:
+    def predict(self, text: str | None, strict: bool = False) -> tuple[str, float, bool]:
         if not self.languages or text is None or not LETTER.search(text):
             return UNDETERMINED, 0.0, False
         if len(self.languages) == 1:
             return self.languages[0], 1.0, False
         margin = features(text) @ self.weights + self.bias
-        cost = (np.logaddexp(0, -codewords(len(self.languages)) * margin) * self.trust).sum(1)
+        cost = costs(margin, codewords(len(self.languages)), self.trust)
+        if strict and cost.min() > self.limit:
+            return UNDETERMINED, 0.0, False
         p = np.exp(cost.min() - cost)
         p /= p.sum()
         first, second = np.argsort(-p, kind="stable")[:2]
@@ -88,7 +101,11 @@ def fit(x: np.ndarray, langs: list[str]) -> LanguageModel:
         w, b = w + RATE * vw, b + RATE * vb
     right = ((target * (x @ w + b) > 0) * share).sum(0)
     trust = np.maximum(right - 0.5, 1e-3)
-    return LanguageModel(names, w, b, trust / trust.sum() * len(trust))
+    trust = trust / trust.sum() * len(trust)
+    code = codewords(len(names))
+    most = max(float(costs(margin, code, trust).min()) for margin in x @ w + b)
+    unknown = float(costs(np.zeros(len(trust)), code, trust)[0])
+    return LanguageModel(names, w, b, trust, most + REJECT * max(0.0, unknown - most))
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
@@ -117,14 +134,16 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     return fit(x, rows["lang"].to_pylist())
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows of ``docs`` with ``lang_pred, score, ambiguous``; a column of such a name is replaced."""
+def identify(docs: DataFrame, model: LanguageModel, strict: bool = False) -> DataFrame:
+    """The rows of ``docs`` with ``lang_pred, score, ambiguous``; a column of such a name is replaced.
+
+    If ``strict``, texts that the decoder rejects are ``und``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.drop("lang_pred", "score", "ambiguous")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [shared.value.predict(t.as_py()) for t in b.column("text")]
+            out = [shared.value.predict(t.as_py(), strict) for t in b.column("text")]
             more = [pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "lang_pred", "score", "ambiguous"])
 
