@@ -304,7 +304,7 @@ def spell_rewrite(spark, d):
 @query()
 def parse_query_batch(spark, d):
     ship_package(spark)
-    rows = table(spark, d, "benchmark").select("item_id", F.concat_ws(" AND ", F.slice(F.split("text", " "), 1, 4)).alias("query"))
+    rows = table(spark, d, "benchmark").select("item_id", F.concat_ws(" AND ", F.split("text", " ")).alias("query"))
     return parsing.searchable(parsing.parse_table(rows)).select("item_id", "query", "parsed.*")
 
 

@@ -33,6 +33,12 @@ def stopword_filter(spark, d):
     return plain(spark, d).select("doc_id", F.array_join(F.slice("tokens", 1, 20), " ").alias("first_tokens"))
 
 
+@query(f"WITH {TOK} SELECT doc_id, len(toks) AS n, array_to_string(toks, ' ') AS tokens FROM tok")
+def stopword_filter_all(spark, d):
+    """All kept tokens of each document."""
+    return plain(spark, d).select("doc_id", F.size("tokens").cast("long").alias("n"), F.array_join("tokens", " ").alias("tokens"))
+
+
 @query(f"WITH {TOK} SELECT doc_id, len(toks) AS dl FROM tok")
 def doc_lengths(spark, d):
     return index.doc_lengths(plain(spark, d))
