@@ -81,6 +81,23 @@ def gap_decode(spark, d):
     return own.select("term", "doc_id", F.array_join(decoded.cast("array<string>"), ",").alias("positions"))
 
 
+@query(
+    f"""WITH {POST}, g AS (SELECT term, doc_id, unnest(positions) AS p, unnest(range(len(positions))) AS i FROM post)
+SELECT term, doc_id, string_agg(p - before, ',' ORDER BY i) AS gaps FROM (SELECT *, coalesce(lag(p) OVER (PARTITION BY term, doc_id ORDER BY i), 0) AS before FROM g) GROUP BY ALL"""
+)
+def gap_encode_all(spark, d):
+    """Gaps of every posting."""
+    own = index.postings(plain(spark, d))
+    return own.select("term", "doc_id", F.array_join(codec.gaps(F.col("positions")).cast("array<string>"), ",").alias("gaps"))
+
+
+@query(f"WITH {POST} SELECT term, doc_id, array_to_string(positions, ',') AS positions FROM post")
+def gap_decode_all(spark, d):
+    """Every posting, encoded and decoded again."""
+    decoded = codec.from_gaps(codec.gaps(F.col("positions")))
+    return index.postings(plain(spark, d)).select("term", "doc_id", F.array_join(decoded.cast("array<string>"), ",").alias("positions"))
+
+
 @query(
     r"""SELECT doc_id, sha256(trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g'))) AS fingerprint, sha256(coalesce(text, '')) AS content_hash,
 length(coalesce(text, '')) AS n FROM documents"""
@@ -112,6 +129,15 @@ def index_dump(spark, d):
     return index.dump(index.postings(plain(spark, d), PROBES))
 
 
+@query(
+    f"""WITH {POST} SELECT term, term || ' -> [' || string_agg(format('Doc {{}}, TF={{}}, Pos=({{}})', doc_id, tf, array_to_string(positions, ',')), '; ' ORDER BY doc_id) || ']' AS line
+FROM post GROUP BY term"""
+)
+def index_dump_all(spark, d):
+    """The line of every term."""
+    return index.dump(index.postings(plain(spark, d)))
+
+
 @query(
     """SELECT doc_id, CASE WHEN q IS NULL THEN 'Query is required.' WHEN regexp_matches(q, '[\\x00-\\x1f]') THEN 'Query contains control characters.' WHEN trim(q) = '' THEN 'Query cannot be empty.'
 WHEN length(q) > 200 THEN 'Query is too long.' WHEN NOT regexp_matches(q, '[\\p{L}\\p{N}]') THEN 'Query must contain letters or digits.' END AS problem

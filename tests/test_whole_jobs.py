@@ -30,3 +30,15 @@ def test_parse_query_batch_parses_every_word(spark, folder):
     d = folder(benchmark=([(1, " ".join(words))], "item_id long, text string"))
     (row,) = catalog.queries()["parse_query_batch"](spark, d).collect()
     assert row.query == " AND ".join(words) and sorted([*row.required, *row.optional]) == sorted(words)
+
+
+def test_codec_and_dump_take_every_term(spark, folder):
+    d = folder(documents=([(1, "zebra apple zebra the zebra"), (2, "apple 42"), (3, None)], DOCS))
+    run = lambda name: {tuple(r) for r in catalog.queries()[name](spark, d).collect()}
+    assert run("gap_encode_all") == {("zebra", 1, "0,2,1"), ("apple", 1, "1"), ("apple", 2, "0"), ("42", 2, "1")}
+    assert run("gap_decode_all") == {("zebra", 1, "0,2,3"), ("apple", 1, "1"), ("apple", 2, "0"), ("42", 2, "1")}
+    assert run("index_dump_all") == {
+        ("zebra", "zebra -> [Doc 1, TF=3, Pos=(0,2,3)]"),
+        ("apple", "apple -> [Doc 1, TF=1, Pos=(1); Doc 2, TF=1, Pos=(0)]"),
+        ("42", "42 -> [Doc 2, TF=1, Pos=(1)]"),
+    }
