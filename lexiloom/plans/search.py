@@ -284,6 +284,13 @@ def osa_candidates(spark, d):
     return spell.candidates(misspelt(spark), index.vocabulary(docs(spark, d))).filter("dist <= 1")
 
 
+@query()
+def osa_candidates_all(spark, d):
+    """All candidates up to ``EDIT_DISTANCE``; no SQL, as DuckDB has no optimal string alignment."""
+    ship_package(spark)
+    return spell.candidates(misspelt(spark), index.vocabulary(docs(spark, d)))
+
+
 @query(f"{SPELL}, b AS (SELECT word, term FROM c QUALIFY row_number() OVER (PARTITION BY word ORDER BY dist, freq DESC, term) = 1) SELECT w.word, b.term AS correction FROM w LEFT JOIN b USING (word)")
 def spell_best(spark, d):
     ship_package(spark)

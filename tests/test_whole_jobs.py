@@ -1,8 +1,12 @@
 """That registered queries work on all of their input."""
 
+from functools import lru_cache
+
 import pytest
 
 from lexiloom import catalog
+from lexiloom.config import EDIT_DISTANCE
+from lexiloom.plans import search
 
 
 @pytest.fixture
@@ -42,3 +46,25 @@ def test_codec_and_dump_take_every_term(spark, folder):
         ("apple", "apple -> [Doc 1, TF=1, Pos=(1); Doc 2, TF=1, Pos=(0)]"),
         ("42", "42 -> [Doc 2, TF=1, Pos=(1)]"),
     }
+
+
+def brute_osa(a, b):
+    @lru_cache(None)
+    def d(i, j):
+        if not i or not j:
+            return i + j
+        best = min(d(i - 1, j) + 1, d(i, j - 1) + 1, d(i - 1, j - 1) + (a[i - 1] != b[j - 1]))
+        if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+            best = min(best, d(i - 2, j - 2) + 1)
+        return best
+
+    return d(len(a), len(b))
+
+
+def test_osa_candidates_up_to_distance_two(spark, folder):
+    vocab = "there three tree the ther other erin ernie thorn thon python zzzqqq tehrs threat hter tr t ethr h42".split()
+    d = folder(documents=([(1, " ".join(vocab)), (2, "there ther")], DOCS))
+    freq = {w: 1 + (w in ("there", "ther")) for w in vocab}
+    want = {(w, v, freq[v], n) for w in search.MISSPELT for v in vocab if (n := brute_osa(w, v)) <= EDIT_DISTANCE}
+    got = [tuple(r) for r in catalog.queries()["osa_candidates_all"](spark, d).collect()]
+    assert set(got) == want and len(got) == len(want) and {n for *_, n in want} == {0, 1, 2}
