@@ -11,11 +11,11 @@ from lexiloom.config import PageRank
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder of ``spark.checkpoint.dir`` and read again, or as it is where none is set."""
+    """``df`` written to the folder of ``spark.checkpoint.dir`` and read again; where none is set, a local checkpoint."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        return df
+        return df.localCheckpoint()  # else the plan doubles with each round
     path = f"{folder.rstrip('/')}/lexiloom/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

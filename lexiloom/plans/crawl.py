@@ -96,11 +96,11 @@ STEPS = 5
 SUPPLY = "pairs AS MATERIALIZED (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), e AS MATERIALIZED (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM pairs UNION ALL SELECT 'p' || l_partkey, 's' || l_suppkey FROM pairs WHERE l_partkey % 3 <> 0)"
 
 
-def pagerank_sql() -> str:
+def pagerank_sql(steps: int = STEPS) -> str:
     """Power iteration written out, a CTE a step."""
     head = f"""WITH {SUPPLY}, v AS MATERIALIZED (SELECT src AS node FROM e UNION SELECT dst FROM e), c AS MATERIALIZED (SELECT count(*)::DOUBLE AS n FROM v), o AS MATERIALIZED (SELECT src, count(*) AS k FROM e GROUP BY src),
 r0 AS MATERIALIZED (SELECT node, 1.0 / n AS score FROM v, c)"""
-    for i in range(STEPS):
+    for i in range(steps):
         head += f""", r{i + 1} AS MATERIALIZED (SELECT v.node, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(s, 0.0) + (SELECT coalesce(sum(score), 0.0) FROM r{i} WHERE node NOT IN (SELECT src FROM o)) / n) AS score
 FROM v CROSS JOIN c LEFT JOIN (SELECT dst, sum(score / k) AS s FROM e JOIN r{i} ON r{i}.node = e.src JOIN o ON o.src = e.src GROUP BY dst) x ON x.dst = v.node)"""
     return head
@@ -123,6 +123,31 @@ def pagerank_sum(spark, d):
     return out.agg((F.abs(F.sum("score") - 1) < 1e-6).alias("sums_to_one"), F.count("*").alias("n"))
 
 
+def converged_sql() -> str:
+    """CTE ``done(node, score)``: the production parameters' rounds, up to the first that moves ranks by less than the tolerance."""
+    p = PageRank()
+    moved = " UNION ALL ".join(f"SELECT {i} AS i, (SELECT sum(abs(a.score - b.score)) FROM r{i} a JOIN r{i - 1} b USING (node)) AS moved" for i in range(1, p.iterations + 1))
+    every = " UNION ALL ".join(f"SELECT {i} AS i, node, score FROM r{i}" for i in range(1, p.iterations + 1))
+    return f"""{pagerank_sql(p.iterations)}, moves AS MATERIALIZED ({moved}), last AS MATERIALIZED (SELECT coalesce(min(i) FILTER (moved < {p.tolerance}), {p.iterations}) AS i FROM moves),
+done AS (SELECT node, score FROM ({every}) WHERE i = (SELECT i FROM last))"""
+
+
+@query(f"{converged_sql()} SELECT node, round(score, 9) AS score FROM done")
+def pagerank_converged(spark, d):
+    """PageRank with the production parameters: 30 rounds, or until it converges."""
+    return graph.pagerank(supply_edges(spark, d)).select("node", F.round("score", 9).alias("score"))
+
+
+@query(f"{converged_sql()} SELECT node, round(score, 9) AS score FROM done ORDER BY round(score, 9) DESC, node LIMIT 10")
+def pagerank_converged_top10(spark, d):
+    return pagerank_converged(spark, d).orderBy(F.desc("score"), "node").limit(10)
+
+
+@query(f"{converged_sql()} SELECT abs(sum(score) - 1) < 1e-6 AS sums_to_one, count(*) AS n FROM done")
+def pagerank_converged_sum(spark, d):
+    return graph.pagerank(supply_edges(spark, d)).agg((F.abs(F.sum("score") - 1) < 1e-6).alias("sums_to_one"), F.count("*").alias("n"))
+
+
 @query(
     f"""WITH {SUPPLY}, d0 AS (SELECT 's1' AS node), d1 AS (SELECT DISTINCT dst AS node FROM e JOIN d0 ON src = node), d2 AS (SELECT DISTINCT dst AS node FROM e JOIN d1 ON src = node),
 d3 AS (SELECT DISTINCT dst AS node FROM e JOIN d2 ON src = node), every AS (SELECT node, 0 AS depth FROM d0 UNION ALL SELECT node, 1 FROM d1 UNION ALL SELECT node, 2 FROM d2 UNION ALL SELECT node, 3 FROM d3)

@@ -68,3 +68,26 @@ def test_osa_candidates_up_to_distance_two(spark, folder):
     want = {(w, v, freq[v], n) for w in search.MISSPELT for v in vocab if (n := brute_osa(w, v)) <= EDIT_DISTANCE}
     got = [tuple(r) for r in catalog.queries()["osa_candidates_all"](spark, d).collect()]
     assert set(got) == want and len(got) == len(want) and {n for *_, n in want} == {0, 1, 2}
+
+
+def test_pagerank_converges(spark, folder):
+    pairs = [(s, p) for s in range(1, 6) for p in range(1, 13) if (s * p + s) % 4 < 2]
+    d = folder(lineitem=(pairs, "l_suppkey long, l_partkey long"))
+    edges = [(f"s{s}", f"p{p}") for s, p in pairs] + [(f"p{p}", f"s{s}") for s, p in pairs if p % 3]
+    nodes = sorted({x for e in edges for x in e})
+    to = {n: [b for a, b in edges if a == n] for n in nodes}
+    ranks = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(500):
+        spread = sum(ranks[n] for n in nodes if not to[n]) / len(nodes)
+        new = {n: 0.15 / len(nodes) + 0.85 * spread for n in nodes}
+        for n in nodes:
+            for m in to[n]:
+                new[m] += 0.85 * ranks[n] / len(to[n])
+        ranks = new
+    q = catalog.queries()
+    got = {r.node: r.score for r in q["pagerank_converged"](spark, d).collect()}
+    assert set(got) == set(nodes) and sum(abs(got[n] - ranks[n]) for n in nodes) < 1e-3
+    fixed = {r.node: r.score for r in q["pagerank_fixed"](spark, d).collect()}
+    assert sum(abs(got[n] - ranks[n]) for n in nodes) < 0.5 * sum(abs(fixed[n] - ranks[n]) for n in nodes)
+    assert [r.node for r in q["pagerank_converged_top10"](spark, d).collect()] == sorted(nodes, key=lambda n: (-got[n], n))[:10]
+    assert [tuple(r) for r in q["pagerank_converged_sum"](spark, d).collect()] == [(True, len(nodes))]
