@@ -1,7 +1,7 @@
 """Vectorised features of whole texts: hashed words, hashed byte n-grams, character and line statistics.
 
 Everything works on the UTF-8 bytes of a text in blocks of ``BLOCK``, so that memory is bounded for
-any length; a block ends at white space where it has any.
+any length; a block ends at white space where it has any, and a word without any is carried over blocks.
 """
 
 from __future__ import annotations
@@ -48,12 +48,17 @@ def blocks(raw: np.ndarray) -> Iterator[np.ndarray]:
     yield raw[at:]
 
 
-def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte strings ``raw[start:end]``; equal strings have equal hashes wherever they lie."""
+def _sums(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomials in ``BASE`` of the byte strings ``raw[start:end]``."""
     power, inverse = _powers()
     summed = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=summed[1:])
-    return mix((summed[ends] - summed[starts]) * inverse[starts])
+    return (summed[ends] - summed[starts]) * inverse[starts]
+
+
+def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte strings ``raw[start:end]``; equal strings have equal hashes wherever they lie."""
+    return mix(_sums(raw, starts, ends))
 
 
 def spans(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,12 +68,29 @@ def spans(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(raw: np.ndarray, inside: np.ndarray = IN_WORD) -> np.ndarray:
-    """Hashes of the words of a text, in order; a word is a run of bytes that ``inside`` marks."""
-    found = []
+    """Hashes of the words of a text, in order; a word is a run of bytes that ``inside`` marks.
+
+    A word that goes over the end of a block is carried on: its sum and length so far."""
+    found = [np.empty(0, np.uint64)]
+    carried = np.empty(0, np.uint64)  # one sum, or none
+    length = 0
     for block in blocks(raw):
-        if len(block):
-            found.append(hash_spans(block, *spans(inside[block])))
-    return np.concatenate(found) if found else np.empty(0, np.uint64)
+        if not len(block):
+            continue
+        starts, ends = spans(inside[block])
+        sums = _sums(block, starts, ends)
+        if len(carried) and len(starts) and starts[0] == 0:
+            sums[:1] = carried + sums[:1] * np.uint64(pow(BASE, length, 1 << 64))
+        else:
+            found.append(carried)
+            length = 0
+        if len(ends) and ends[-1] == len(block):
+            length = int(ends[-1] - starts[-1]) + (length if starts[-1] == 0 else 0)
+            carried, sums = sums[-1:], sums[:-1]
+        else:
+            carried, length = sums[:0], 0
+        found.append(sums)
+    return mix(np.concatenate([*found, carried]))
 
 
 def ngram_counts(raw: np.ndarray, orders: tuple[int, ...], bits: int) -> np.ndarray:

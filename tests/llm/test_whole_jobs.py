@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from lexiloom.llm import language_id
+from lexiloom.llm import language_id, minhash, textstats
 
 
 def test_language_stage_drops_noise_with_letters(spark):
@@ -17,3 +19,23 @@ def test_language_stage_drops_noise_with_letters(spark):
     docs = spark.createDataFrame(rows + noise, "doc_id long, text string, lang string")
     kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
     assert kept == {r[0] for r in rows}
+
+
+def test_words_longer_than_a_block(monkeypatch):
+    rng = random.Random(12)
+    texts = ["word " * 400 + "x" * 700 + " tail words here", "x" * 256, "x" * 512 + " y", "", " ", "é" * 300, "ab " + "q" * 254 + "\n" + "z" * 1024 + "!" + "z" * 255]
+    texts += ["".join(rng.choice("ab") * rng.randint(1, 400) + rng.choice(" !\n") * rng.randint(0, 2) for _ in range(30)) for _ in range(40)]
+    for inside in (textstats.IN_WORD, ~minhash.SEPARATOR):
+        raws = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+        monkeypatch.setattr(textstats, "BLOCK", 1 << 20)
+        whole = [textstats.word_hashes(r, inside) for r in raws]
+        monkeypatch.setattr(textstats, "BLOCK", 256)
+        assert all((w.shape == s.shape and (w == s).all()) for w, s in zip(whole, (textstats.word_hashes(r, inside) for r in raws), strict=True))
+    assert len(whole[0]) == 404
+
+
+def test_shingles_of_a_word_of_three_mib(spark):
+    long = "W" * (3 << 20)
+    docs = spark.createDataFrame([(1, "a b c d " + long), (2, long), (3, long[:-1] + "V")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.kept) for r in minhash.near_duplicates(docs, words=3, percent=85).collect()}
+    assert got == {1: (3, True), 2: (1, True), 3: (1, True)}
