@@ -1,7 +1,7 @@
 """The training-data pipeline: five stages from ``documents`` to packed sequences.
 
-Each stage takes what its predecessor returned and works on all of it.  Rows with a null id pass the
-near-duplicate stage, which works on ids.
+Each stage takes what its predecessor returned and works on all of it.  The near-duplicate stage
+works on rows, whatever their ids: of rows with one id, or with null ids, one of each group stays too.
 """
 
 from __future__ import annotations
@@ -38,10 +38,15 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
+    """Of each group of near-duplicates the row with the smallest id stays; null ids come last, and one of equal ids stays."""
     ship_package(spark)
-    gone = minhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)  # one plan at every size
+    apart, restored = _apart(docs)
+    keyed = materialize(apart.withColumn("_key", F.monotonically_increasing_id()), "keyed")  # a key must not change when it is read again
+    found = minhash.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id")
+    doc_id = F.col(f"_{docs.columns.index('doc_id')}")
+    ranked = found.join(keyed.select("_key", F.struct(doc_id.isNull().alias("unknown"), doc_id.alias("id"), "_key").alias("order")), "_key")
+    kept = ranked.groupBy("component_id").agg(F.min("order").alias("first")).select("first._key")
+    return keyed.join(kept.hint("shuffle_hash"), "_key", "left_semi").select(*restored)  # one plan at every size
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

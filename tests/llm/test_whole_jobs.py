@@ -39,3 +39,15 @@ def test_shingles_of_a_word_of_three_mib(spark):
     docs = spark.createDataFrame([(1, "a b c d " + long), (2, long), (3, long[:-1] + "V")], "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.kept) for r in minhash.near_duplicates(docs, words=3, percent=85).collect()}
     assert got == {1: (3, True), 2: (1, True), 3: (1, True)}
+
+
+def test_near_duplicates_of_rows_with_one_id_or_none(spark):
+    rng = random.Random(13)
+    prose = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    a, b, c, e, f = (prose() for _ in range(5))
+    rows = [(7, a, "x"), (7, a, "x"), (7, b, "x"), (3, b + " end", "x"), (None, c, "x"), (None, c, "x"), (None, e, "x"), (9, e, "x"), (5, f, "x"), (None, None, "x"), (11, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string").repartition(3)
+    now = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert now.columns == docs.columns
+    want = [(7, a, "x"), (3, b + " end", "x"), (None, c, "x"), (9, e, "x"), (5, f, "x"), (None, None, "x"), (11, "", "x")]
+    assert sorted(map(repr, map(tuple, now.collect()))) == sorted(map(repr, want))
