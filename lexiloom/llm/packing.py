@@ -7,7 +7,9 @@ the rows.  The driver packs the histogram: bins with the same content are one *g
 * Best fit, longest first, whole runs of equal pieces at a time.
 * Local search over groups that are not full: move a piece, or exchange one for one or two for
   one, from an emptier to a fuller bin, whichever raises the sum of squared fills most, for as many
-  bins at once as both groups have, until nothing improves.  Bins that become empty go.
+  bins at once as both groups have, until the bins are no more than the sum of lengths takes or
+  nothing improves.  Bins that become empty go.  All groups are searched; one that was tried in vain
+  is tried again only against groups that came or grew since.
 
 Then each piece takes a slot of its length by its rank among pieces of that length, which comes from
 counts per input partition and prefix sums over partitions; no partition needs another's rows.
@@ -19,6 +21,7 @@ are; ties among equal lengths are settled by partition and row order; an empty t
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -32,8 +35,6 @@ from .common import documents, materialize, table
 from .wordbpe import WORD_BPE, encoder
 
 CAPACITY, END_ID = 2048, 0
-#: Local search looks at so many of the emptiest groups, and makes so many exchanges at most.
-GROUPS, STEPS = 300, 3000
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, local_rank long"
 
 
@@ -78,47 +79,78 @@ def best_fit(counts: dict[int, int], capacity: int) -> Counter:
     return bins
 
 
-def _exchange(low: tuple, high: tuple, room: int) -> tuple[int, tuple, tuple] | None:
-    """The most that ``high`` can gain from ``low``: gain, what moves up, what moves down."""
-    best, ups = None, set(low)
-    pairs = {(a, b) for i, a in enumerate(low[:24]) for b in low[i + 1 : 24]}
-    for up, size in [*(((a,), a) for a in ups), *((p, sum(p)) for p in pairs)]:
-        for down in [(), *((b,) for b in set(high))] if len(up) == 1 else [(b,) for b in set(high)]:
-            gain = size - sum(down)
-            if 0 < gain <= room and (best is None or gain > best[0]):
-                best = gain, up, down
+def _ups(low: tuple) -> tuple[list[int], list[int], dict[int, tuple]]:
+    """The sizes that can move up alone, and the sums of two of them with what they consist of."""
+    often = Counter(low)
+    ones = sorted(often)
+    twos = {a + b: (a, b) for i, a in enumerate(ones) for b in ones[i:] if a != b or often[a] > 1}
+    return ones, sorted(twos), twos
+
+
+def _exchange(ups: tuple, high: tuple, room: int) -> tuple[int, tuple, tuple] | None:
+    """The most that ``high`` can gain from an emptier bin: gain, what moves up, what moves down."""
+    ones, sums, twos = ups
+    best = None
+    for down in (0, *sorted(set(high))):
+        for sizes in (ones, sums) if down else (ones,):
+            k = bisect.bisect_right(sizes, room + down) - 1
+            if k >= 0 and (gain := sizes[k] - down) > 0 and (best is None or gain > best[0]):
+                best = gain, (sizes[k],) if sizes is ones else twos[sizes[k]], (down,) if down else ()
     return best
 
 
-def local_search(bins: Counter, capacity: int, groups: int = GROUPS, steps: int = STEPS) -> Counter:
-    """Raise the sum of squared fills by moves and exchanges until bins empty or nothing improves."""
-    bins, barred = Counter(bins), set()
-    for _ in range(steps):
-        under = sorted((b for b in bins if sum(b) < capacity), key=lambda b: (sum(b), b))[:groups]
-        for i, low in enumerate(under):
-            found = None
-            for high in reversed(under[i if bins[low] > 1 else i + 1 :]):
-                room = capacity - sum(high)
-                if (low, high) in barred or low == high and bins[low] < 2:
+def local_search(bins: Counter, capacity: int) -> Counter:
+    """Raise the sum of squared fills by moves and exchanges until the bins are as few as they can be or nothing improves."""
+    bins = Counter(bins)
+    under = sorted((sum(b), b) for b in bins if sum(b) < capacity)
+    n, least = sum(bins.values()), -(-sum(sum(b) * k for b, k in bins.items()) // capacity)
+    risen: list[tuple] = []  # groups that came or grew, in that order
+    tried: dict[tuple, int] = {}  # groups tried in vain against all, and against so many of ``risen``
+
+    def change(content: tuple, by: int) -> None:
+        entry = sum(content), content
+        if by > 0 and entry[0] < capacity:
+            risen.append(entry)
+            if content not in bins:
+                bisect.insort(under, entry)
+        bins[content] += by
+        if not bins[content]:
+            del bins[content]
+            if entry[0] < capacity:
+                del under[bisect.bisect_left(under, entry)]
+
+    while n > least:
+        for i, (fill, low) in enumerate(under):
+            found, ups = None, None
+            if low not in tried:
+                highs = reversed(under[i:])
+            elif tried[low] == len(risen):
+                continue
+            else:
+                highs = sorted({x for x in risen[tried[low] :] if x >= (fill, low) and x[1] in bins}, reverse=True)
+            for total, high in highs:
+                if low == high and bins[low] < 2:
                     continue
-                if (x := _exchange(low, high, room)) and (found is None or x[0] + sum(high) > found[0][0] + sum(found[1])):
+                ups = ups or _ups(low)
+                if (x := _exchange(ups, high, capacity - total)) and (found is None or x[0] + total > found[0][0] + sum(found[1])):
                     found = x, high
-                elif not x:
-                    barred.add((low, high))
+                    if x[0] + total == capacity:
+                        break
             if found:
                 break
+            tried[low] = len(risen)
         else:
-            return bins
+            break
         (gain, up, down), high = found
         number = bins[low] // 2 if low == high else min(bins[low], bins[high])
         a, b = Counter(low) - Counter(up) + Counter(down), Counter(high) + Counter(up) - Counter(down)
-        for content, by in ((low, -number), (high, -number)):
-            bins[content] += by
-            if not bins[content]:
-                del bins[content]
+        for content in (low, high):
+            change(content, -number)
         for content in (a, b):
             if flat := tuple(sorted(content.elements(), reverse=True)):
-                bins[flat] += number
+                change(flat, number)
+            else:
+                n -= number
     return bins
 
 

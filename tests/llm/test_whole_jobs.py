@@ -1,11 +1,12 @@
 """That training-data operators do the whole of their job."""
 
 import random
+from collections import Counter
 
 import numpy as np
 
 import corpus_pipeline
-from lexiloom.llm import language_id, minhash, textstats
+from lexiloom.llm import language_id, minhash, packing, textstats
 
 
 def test_language_stage_drops_noise_with_letters(spark):
@@ -51,3 +52,32 @@ def test_near_duplicates_of_rows_with_one_id_or_none(spark):
     assert now.columns == docs.columns
     want = [(7, a, "x"), (3, b + " end", "x"), (None, c, "x"), (9, e, "x"), (5, f, "x"), (None, None, "x"), (11, "", "x")]
     assert sorted(map(repr, map(tuple, now.collect()))) == sorted(map(repr, want))
+
+
+def left_over(bins, capacity):
+    """Whether some piece can move, or be exchanged one for one or two for one, into a fuller bin."""
+    groups = sorted((sum(b), b) for b in bins if sum(b) < capacity)
+    for i, (_, low) in enumerate(groups):
+        ones = set(low)
+        twos = {a + b for k, a in enumerate(low) for b in low[k + 1 :]}
+        for total, high in groups[i:]:
+            if low == high and bins[low] < 2:
+                continue
+            room, downs = capacity - total, set(high)
+            if any(0 < u <= room for u in ones) or any(0 < u - d <= room for u in ones | twos for d in downs):
+                return True
+    return False
+
+
+def test_local_search_leaves_no_exchange():
+    rng = random.Random(14)
+    for capacity, counts in [(2048, Counter(rng.randint(600, 760) for _ in range(3000)))] + [(30, Counter(rng.randint(1, 30) for _ in range(50))) for _ in range(20)]:
+        better = packing.local_search(packing.best_fit(counts, capacity), capacity)
+        held = Counter()
+        for content, n in better.items():
+            assert sum(content) <= capacity and n > 0
+            for size in content:
+                held[size] += n
+        assert held == counts
+        least = -(-sum(k * n for k, n in counts.items()) // capacity)
+        assert sum(better.values()) == least or not left_over(better, capacity)
