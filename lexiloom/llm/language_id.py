@@ -7,8 +7,9 @@ classifier's margin against the bit, weighted by how well that classifier did on
 The score is the softmax of the negative costs; a text whose two cheapest codewords lie closer than
 ``AMBIGUOUS`` in score is flagged.
 
-The decoder can also reject: a text whose cheapest codeword costs more than ``limit`` is of none of the
-languages, and ``strict`` identification says ``und``.  The limit lies above the cost of every training
+The decoder can also reject: a text whose cheapest codeword costs more than ``limit``, and of whose
+passages of ``PASSAGE`` characters at least half cost more too (a mixture of languages has no codeword, its
+passages have), is of none of the languages, and ``strict`` identification says ``und``.  The limit lies above the cost of every training
 row, at the share ``REJECT`` of the way to the cost of a text that the classifiers know nothing of.
 
 The classifiers are fitted on about ``SAMPLE`` rows of each language, chosen by a hash of the id; the
@@ -37,7 +38,7 @@ from .textstats import ngram_counts
 ORDERS, BITS, SAMPLE, MOST_LANGUAGES = (2, 3, 4), 13, 1000, 200
 STEPS, RATE, DECAY = 80, 12.0, 1e-4
 AMBIGUOUS = 0.2
-REJECT = 0.75
+REJECT, PASSAGE = 0.75, 200
 UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -69,14 +70,21 @@ class LanguageModel:
     trust: np.ndarray | None = None  # of each bit, adding up to the number of bits
     limit: float = float("inf")  # of the cheapest codeword's cost
 
+    def costs(self, text: str) -> np.ndarray:
+        return costs(features(text) @ self.weights + self.bias, codewords(len(self.languages)), self.trust)
+
+    def rejects(self, text: str) -> bool:
+        """Whether half of the passages, those without a letter included, are of no language."""
+        passages = [text[i : i + PASSAGE] for i in range(0, len(text), PASSAGE)]
+        return 2 * sum(not LETTER.search(p) or self.costs(p).min() > self.limit for p in passages) >= len(passages)
+
     def predict(self, text: str | None, strict: bool = False) -> tuple[str, float, bool]:
         if not self.languages or text is None or not LETTER.search(text):
             return UNDETERMINED, 0.0, False
         if len(self.languages) == 1:
             return self.languages[0], 1.0, False
-        margin = features(text) @ self.weights + self.bias
-        cost = costs(margin, codewords(len(self.languages)), self.trust)
-        if strict and cost.min() > self.limit:
+        cost = self.costs(text)
+        if strict and cost.min() > self.limit and self.rejects(text):
             return UNDETERMINED, 0.0, False
         p = np.exp(cost.min() - cost)
         p /= p.sum()

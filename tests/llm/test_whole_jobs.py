@@ -17,6 +17,7 @@ def test_language_stage_drops_noise_with_letters(spark):
     noise = [(1000 + i, text("0123456789#%$|;:@!? z"), None) for i in range(30)] + [(1100 + i, text("бгджзклп "), None) for i in range(30)]
     noise = [r for r in noise if language_id.LETTER.search(r[1])]
     assert len(noise) > 40
+    rows += [(400 + i, " ".join("".join(rng.choice(letters[lang]) for _ in range(600)) for lang in letters), None) for i in range(5)]  # mixtures stay
     docs = spark.createDataFrame(rows + noise, "doc_id long, text string, lang string")
     kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
     assert kept == {r[0] for r in rows}
