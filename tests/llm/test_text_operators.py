@@ -142,22 +142,72 @@ def test_signature_is_circulant():
 # Suffix arrays
 
 
+def suffixes_by_brute_force(t):
+    rows = sorted(range(len(t)), key=lambda i: tuple(t[i:]))
+    common = [0] * min(1, len(t))
+    for x, y in zip(rows, rows[1:]):
+        a, b = t[x:], t[y:]
+        n = min(len(a), len(b))
+        common.append(n if (a[:n] == b[:n]).all() else int((a[:n] != b[:n]).argmax()))
+    return rows, common
+
+
 @pytest.mark.parametrize("memory", [0, 10**8])
-def test_induced_sort(monkeypatch, tmp_path, memory):
+@pytest.mark.parametrize("base", [0, 5, 1 << 20])
+def test_induced_sort(monkeypatch, tmp_path, memory, base):
     rng = np.random.default_rng(4)
-    for _ in range(250):
+    monkeypatch.setattr(induced, "BASE", base)
+    for i in range(120):
         monkeypatch.setattr(induced, "CHUNK", int(rng.integers(1, 9)))
         t = rng.integers(0, int(rng.integers(1, 5)), int(rng.integers(1, 60)))
+        t = np.tile(t[:7], 8) if i % 7 == 0 else t
         sa, common = induced.induced_sort(t, str(tmp_path), memory)
-        rows = sorted(range(len(t)), key=lambda i: tuple(t[i:]))
-        assert sa.tolist() == rows
-        for i in range(1, len(t)):
-            a, b = t[rows[i - 1] :], t[rows[i] :]
-            n = min(len(a), len(b))
-            assert common[i] == (n if (a[:n] == b[:n]).all() else int((a[:n] != b[:n]).argmax()))
+        assert (sa.tolist(), common.tolist()) == suffixes_by_brute_force(t)
     assert not list(tmp_path.iterdir())
 
 
+def test_induced_sort_with_ranges_of_several_symbols(monkeypatch, tmp_path):
+    rng = np.random.default_rng(5)
+    for name, value in (("OWN_RANGES", 2), ("BASE", 0), ("CHUNK", 9), ("RANGE", 12), ("BATCH", 4)):
+        monkeypatch.setattr(induced, name, value)
+    for _ in range(150):
+        t = rng.integers(0, int(rng.integers(3, 50)), int(rng.integers(1, 120)))
+        scratch = induced.Scratch(str(tmp_path), int(rng.integers(0, 300)))
+        text = induced.padded(len(t), scratch)
+        text[: len(t)] = t
+        order = np.concatenate([a for a, _ in induced._descending(text, len(t), int(t.max()) + 1, scratch, False)])[::-1]
+        assert order.tolist() == suffixes_by_brute_force(t)[0]
+
+
+def test_a_text_larger_than_memory_is_sorted_on_disk(tmp_path):
+    """At the production setting: the recursion's names exceed what is sorted in memory, arrays and queues go to files."""
+    rng = np.random.default_rng(6)
+    words = [rng.integers(2, 28, int(rng.integers(2, 9))) for _ in range(3000)]
+    t = np.concatenate([np.append(words[i], 1) for i in rng.integers(0, len(words), 1_200_000)])
+    scratch = induced.Scratch(str(tmp_path))
+    text = induced.padded(len(t), scratch)
+    text[: len(t)] = t
+    rank, held = np.zeros(len(t) + 1, np.int32), 0
+    rank[len(t)], n = -1, len(t)
+    order, common = [], []
+    for suffixes, prefixes in induced.descending(text, scratch):
+        order.append(suffixes.copy())
+        common.append(prefixes.copy())
+        held = max(held, scratch.held)
+    order, common = np.concatenate(order).astype(np.int64), np.concatenate(common)
+    rank[order] = np.arange(n, 0, -1)
+    assert (np.sort(order) == np.arange(n)).all()
+    # A suffix is less than another if its symbol is, or that is equal and what follows is less.
+    a, b = order[1:], order[:-1]
+    assert ((t[a] < t[b]) | ((t[a] == t[b]) & (rank[a + 1] < rank[b + 1]))).all()
+    some = rng.integers(1, n, 3000)
+    for i in some.tolist():
+        x, y = t[order[i] : order[i] + 100], t[order[i - 1] : order[i - 1] + 100]
+        m = min(len(x), len(y))
+        assert common[i] == (m if (x[:m] == y[:m]).all() else (x[:m] != y[:m]).argmax())
+    assert len(t) > 6 * (1 << 20) and scratch.spilled > 2 * scratch.memory and held < 2 * scratch.memory
+
+
 def brute_repeats(rows, least=suffix_dedup.LEAST):
     seen, out = set(), {}
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
