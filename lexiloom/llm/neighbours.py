@@ -8,13 +8,18 @@ share is set on the sample: the least at which the sample's own nearest are foun
 In a table larger than the sample neighbours lie closer, so the same share finds no fewer of them.
 
 All rows are indexed.  Of equal vectors the ``k + 1`` smallest ids are kept, as ties go to smaller
-ids: no others can be among a query's nearest.  Leaves are cut into blocks of ``BLOCK`` rows, and
-queries into as many; a task ranks one block's queries against one block's rows and returns the best
-of each, so that no task holds a whole leaf.
+ids: no others can be among a query's nearest; equal queries are searched once.  A tree has ``LEAVES``
+leaves at most, so a query goes to a bounded number of them; leaves of more than ``BLOCK_BYTES`` are cut.
+A task holds the vectors of one leaf, or part of one, while its queries stream past; of each query it
+returns the best, with all that tie with the last.
+
+The queries' work grows with rows times queries at a set share; where vectors have structure, the share is small.
 
 Defined cases: null, zero and not finite vectors, and those of another length than the most frequent,
-take no part; nor do rows without an id; repeated ids are rows of their own, but a query never finds
-its own id; an empty table, or one without usable queries, gives no rows.
+take no part; nor do rows without an id; repeated ids are candidates of their own, but a query never finds
+its own id, and a repeated query has the nearest of all its vectors; ties of score go to the smaller id,
+whether the vectors are equal or not; an empty table, or one without usable queries, gives no rows; other
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -28,10 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
-from .vectors import matrix, sample, usable, usual_length
+from .common import materialize, partitions, table
+from .vectors import matrix, salt, salts, sample, usable, usual_length, with_hash
 
-K, TREES, LEAF, BLOCK, SAMPLE, TARGET, SEED = 20, 4, 1024, 4096, 20_000, 0.96, 11
+K, TREES, LEAF, LEAVES, BLOCK_BYTES, SAMPLE, TARGET, SEED = 20, 4, 1024, 256, 32 << 20, 20_000, 0.96, 11
+SCORES = 1 << 22  # in a block of queries times rows
 SHARES = (0.05, 0.1, 0.2, 0.3, 0.45, 0.6, 0.8, 1.0, 1.25, 1.5, 2.0, 2.5, 3.0)
 LEAST_IN_LEAF = 16
 
@@ -107,7 +113,7 @@ class Forest:
 def fit(x: np.ndarray, total: int, k: int = K, trees: int = TREES, target: float = TARGET) -> Forest:
     """The forest of a sample for ``total`` rows, with the share that finds the sample's own nearest."""
     rng = np.random.default_rng(SEED)
-    leaf = max(LEAST_IN_LEAF, int(LEAF * len(x) / max(total, 1)))
+    leaf = max(LEAST_IN_LEAF, int(LEAF * len(x) / max(total, 1)), len(x) // LEAVES)
     forest = Forest([grow(x, leaf, rng) for _ in range(trees)], float(trees))
     own = rng.choice(len(x), min(150, len(x)), replace=False)
     if len(x) <= k + 1:
@@ -129,6 +135,32 @@ def fit(x: np.ndarray, total: int, k: int = K, trees: int = TREES, target: float
     return forest
 
 
+def best_of(q: np.ndarray, x: np.ndarray, ids: pa.ListArray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each query the ``most`` best pairs with rows of ``x``, each of which has one or more ids: places in ``q``, scores, ids."""
+    flat, ends = ids.flatten().to_numpy(), np.append(0, np.cumsum(ids.value_lengths().to_numpy()))
+    owners, scores, found = [np.empty(0, np.int64)], [np.empty(0)], [np.empty(0, np.int64)]
+    rounding = 1e-12 * np.linalg.norm(x, axis=1).max() * x.shape[1]
+    kth = len(x) - min(most, len(x))
+    step = max(1, SCORES // len(x))
+    for at in range(0, len(q), step):
+        part = q[at : at + step]
+        near = part @ x.T
+        least = np.partition(near, kth, axis=1)[:, kth] - rounding * np.linalg.norm(part, axis=1)
+        r, c = np.nonzero(near >= least[:, None])  # all that may tie with the last one
+        exact = np.concatenate([(x[c[i : i + 100_000]] * part[r[i : i + 100_000]]).sum(1) for i in range(0, len(r), 100_000)])  # the same sum for a pair wherever it meets
+        often = ends[c + 1] - ends[c]
+        place = np.repeat(ends[c] - np.append(0, np.cumsum(often)[:-1]), often) + np.arange(often.sum())
+        r, exact, own = np.repeat(r, often), np.repeat(exact, often), flat[place]
+        order = np.lexsort((own, -exact, r))
+        r = r[order]
+        first = np.searchsorted(r, r)  # of each query's pairs
+        kept = np.arange(len(r)) - first < most
+        owners.append(r[kept] + at)
+        scores.append(exact[order][kept])
+        found.append(own[order][kept])
+    return np.concatenate(owners), np.concatenate(scores), np.concatenate(found)
+
+
 def nearest(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the rows of ``vec_id, embedding`` for which ``is_query`` holds."""
     out = "query_id long, rank int, vec_id long, score double"
@@ -138,93 +170,74 @@ def nearest(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     n = usual_length(part)
     if not n:
         return spark.createDataFrame([], out)
-    part = part.filter(F.size("embedding") == n)
+    part = with_hash(part.filter(F.size("embedding") == n))
+    asked = part.filter(is_query).select(F.col("vec_id").alias("query_id"), "h", "g")
     # Of equal vectors, the k + 1 smallest ids; the limit is applied before the shuffle too.
-    order = Window.partitionBy("embedding").orderBy("vec_id")
-    first = part.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k + 1)
-    rows = materialize(first.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("vec_id", F.col("ids")[0]), "distinct-vectors")
+    order = Window.partitionBy("h", "g").orderBy("vec_id")
+    first = part.withColumn("nth", F.dense_rank().over(order)).filter(F.col("nth") <= k + 1)
+    rows = first.groupBy("h", "g").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"), F.min_by("embedding", "vec_id").alias("embedding"))
+    rows = materialize(rows.withColumn("vec_id", F.col("ids")[0]), "distinct-vectors")
     total = rows.count()
     forest = fit(sample(rows, SAMPLE, total), total, k)
-    queries = part.filter(is_query)
-    n_queries = max(1, queries.count())
-    parts = [np.maximum(1, np.ceil(t.weight * total / BLOCK)).astype(int) for t in forest.trees]
-    query_parts = -(-n_queries // BLOCK)
+    parts = [np.maximum(1, np.ceil(t.weight * total * n * 8 / BLOCK_BYTES)).astype(np.int64) for t in forest.trees]
     shared = spark.sparkContext.broadcast(forest)  # bounded by SAMPLE, whatever the table's size
-
-    cell = "tree int, leaf int, part int, query_part int"
-    kinds = {"tree": pa.int32(), "leaf": pa.int32(), "part": pa.int32(), "query_part": pa.int32(), "query_id": pa.int64(), "ids": pa.list_(pa.int64())}
-
-    def dealt(columns: list[list], b: pa.RecordBatch, rows: list[int]) -> pa.RecordBatch:
-        arrays = [pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)]
-        return pa.RecordBatch.from_arrays([*arrays, b.column("embedding").take(pa.array(rows, pa.int64()))], [*kinds, "embedding"])
+    cell = lambda tree, leaf, part: (tree << 56) | (leaf << 32) | part
+    columns = ["cell", "query", "h", "g", "ids", "embedding"]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, columns, taken = matrix(b.column("embedding"), n), [[] for _ in kinds], []
-            ids = b.column("ids").to_pylist()
+            x, ids = matrix(b.column("embedding"), n), b.column("vec_id").to_numpy()
             for i, tree in enumerate(shared.value.trees):
-                for r, leaf in enumerate(tree.leaves(x).tolist()):
-                    for q in range(query_parts):
-                        for c, v in zip(columns, (i, leaf, ids[r][0] % parts[i][leaf], q, None, ids[r]), strict=True):
-                            c.append(v)
-                        taken.append(r)
-            yield dealt(columns, b, taken)
+                leaf = tree.leaves(x)
+                own = pa.array(cell(i, leaf, ids % parts[i][leaf]))
+                yield pa.RecordBatch.from_arrays([own, pa.array(np.zeros(len(ids), bool)), *(b.column(c) for c in columns[2:])], columns)
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, columns, taken = matrix(b.column("embedding"), n), [[] for _ in kinds], []
-            for r, own in enumerate(b.column("vec_id").to_pylist()):
+            x, cells, taken = matrix(b.column("embedding"), n), [], []
+            for r in range(len(x)):
                 for i, leaf in shared.value.visit(x[r]):
-                    for p in range(parts[i][leaf]):
-                        for c, v in zip(columns, (i, leaf, p, hash(own) % query_parts, own, None), strict=True):
-                            c.append(v)
-                        taken.append(r)
-            yield dealt(columns, b, taken)
-
-    schema = f"{cell}, query_id long, ids array<long>, embedding array<double>"
-    together = rows.mapInArrow(index, schema).unionByName(queries.mapInArrow(probes, schema))
-
-    def rank(group: pa.Table) -> pa.Table:
-        asked = group.filter(pa.compute.is_valid(group["query_id"]))
-        held = group.filter(pa.compute.is_valid(group["ids"]))
-        owners, lengths, scores, hits = [], [], [], []
-        if asked.num_rows and held.num_rows:
-            q, x, ids = matrix(asked["embedding"], n), matrix(held["embedding"], n), held["ids"].to_pylist()
-            own = asked["query_id"].to_numpy()
-            alone = np.array([len(i) == 1 for i in ids])
-            smallest = np.array([i[0] for i in ids])
-            most = min(k + 2, len(x))  # one may be the query alone, and one more for the cut's rounding
-            for at in range(0, len(q), 256):
-                part, names = q[at : at + 256], own[at : at + 256]
-                top = np.argpartition(-(part @ x.T), most - 1, axis=1)[:, :most]
-                exact = (x[top] * part[:, None]).sum(2)  # the same sum for a pair wherever it meets
-                for r in np.flatnonzero(~alone[top].all(1)):
-                    each = sorted((-s, v) for s, i in zip(exact[r].tolist(), top[r].tolist(), strict=True) for v in ids[i] if v != names[r])[:k]
-                    owners.append(names[r : r + 1])
-                    lengths.append(np.array([len(each)]))
-                    scores.append(np.array([s for s, _ in each]))
-                    hits.append(np.array([v for _, v in each], np.int64))
-                simple = alone[top].all(1)
-                top, minus, names = smallest[top[simple]], -exact[simple], names[simple]
-                minus = np.where(top == names[:, None], np.inf, minus)
-                order = np.lexsort((top, minus), axis=1)[:, :k]
-                top, minus = np.take_along_axis(top, order, 1), np.take_along_axis(minus, order, 1)
-                kept = minus < np.inf
-                owners.append(names)
-                lengths.append(kept.sum(1))
-                scores.append(minus[kept])
-                hits.append(top[kept])
-        joined = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.empty(0, kind)
-        ends = np.append(0, np.cumsum(joined(lengths, np.int32))).astype(np.int32)
-        pairs = pa.StructArray.from_arrays([pa.array(joined(scores, np.float64)), pa.array(joined(hits, np.int64))], ["s", "v"])
-        return pa.table({"query_id": pa.array(joined(owners, np.int64)), "best": pa.ListArray.from_arrays(pa.array(ends), pairs)})
-
-    ranked = together.groupBy("tree", "leaf", "part", "query_part").applyInArrow(rank, "query_id long, best array<struct<s:double,v:long>>")
-    # A pair that several trees found has the same score in each: sorted, its repeats stand side by side.
-    merged = ranked.groupBy("query_id").agg(F.sort_array(F.flatten(F.collect_list("best"))).alias("found"))
-    new = F.filter("found", lambda x, i: (i == 0) | (x != F.get("found", i - 1)))
-    merged = merged.select("query_id", F.slice(new, 1, k).alias("best"))
-    each = merged.select("query_id", F.posexplode("best").alias("rank", "hit"))
+                    cells += [cell(i, leaf, p) for p in range(parts[i][leaf])]
+                taken += [r] * (len(cells) - len(taken))
+            took = b.take(pa.array(taken, pa.int64()))
+            none = pa.nulls(len(taken), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(np.ones(len(taken), bool)), took.column("h"), took.column("g"), none, took.column("embedding")], columns)
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a cell, then its queries: a cell's rows are held while its queries pass."""
+        now, x, held = None, [], []
+        for b in batches:
+            cells, query = b.column("cell").to_numpy(), b.column("query").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(cells) != 0) | (query[1:] != query[:-1])) + 1
+            for i, j in zip([0, *cuts], [*cuts, len(cells)], strict=True):
+                own = b.slice(i, j - i)
+                if not len(own):
+                    continue
+                if cells[i] != now:
+                    now, x, held = cells[i], [], []
+                if not query[i]:
+                    x.append(matrix(own.column("embedding"), n))
+                    held.append(own.column("ids"))
+                elif x:
+                    if len(x) > 1:
+                        x, held = [np.concatenate(x)], [pa.concat_arrays(held)]
+                    r, scores, ids = best_of(matrix(own.column("embedding"), n), x[0], held[0], k + 1)
+                    pairs = pa.StructArray.from_arrays([pa.array(-scores), pa.array(ids)], ["s", "v"])
+                    ends = pa.array(np.searchsorted(r, np.arange(len(own) + 1)).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([own.column("h"), own.column("g"), pa.ListArray.from_arrays(ends, pairs)], ["h", "g", "best"])
+
+    schema = "cell long, query boolean, h long, g long, ids array<long>, embedding array<double>"
+    searched = asked.groupBy("h", "g").agg(F.count("*").alias("often"), F.min("query_id").alias("query_id"))
+    together = rows.mapInArrow(index, schema).unionByName(rows.join(searched, ["h", "g"], "left_semi").select(rows.columns).mapInArrow(probes, schema))
+    dealt = together.repartition(partitions(spark), "cell").sortWithinPartitions("cell", "query")
+    # A query has as many lists of hits as it visited cells.  A pair that several trees found has the same score in each.
+    hits = dealt.mapInArrow(rank, "h long, g long, best array<struct<s:double,v:long>>").groupBy("h", "g").agg(F.sort_array(F.flatten(F.collect_list("best"))).alias("found"))
+    unique = lambda found: F.filter(found, lambda x, i: (i == 0) | (x != F.get(found, i - 1)))
+    hits = hits.select("h", "g", F.slice(unique(F.col("found")), 1, k + 1).alias("found")).join(searched, ["h", "g"])
+    hits = hits.select("h", "g", "found", salts(F.col("often"), "query_id").alias("salt"))
+    each = asked.withColumn("salt", salt("query_id")).join(hits, ["h", "g", "salt"]).groupBy("query_id").agg(F.sort_array(F.flatten(F.collect_set("found"))).alias("found"))
+    others = F.filter(unique(F.col("found")), lambda x: x["v"] != F.col("query_id"))
+    each = each.select("query_id", F.posexplode(F.slice(others, 1, k)).alias("rank", "hit"))
     return each.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("hit.v").alias("vec_id"), (-F.col("hit.s")).alias("score"))
 
 

@@ -27,6 +27,23 @@ def matrix(column: pa.Array | pa.ChunkedArray, n: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)
 
 
+SALTS = 16
+
+
+def with_hash(vectors: DataFrame) -> DataFrame:
+    """``h`` and ``g``: 128 bits that stand for a vector where equal ones are grouped or joined, so that vectors are not sorted."""
+    return vectors.withColumn("h", F.xxhash64("embedding")).withColumn("g", F.xxhash64(F.lit(1), "embedding"))
+
+
+def salt(column: str):
+    return F.pmod(F.xxhash64(F.col(column), F.lit(7)), F.lit(SALTS)).cast("int")
+
+
+def salts(often, one: str):
+    """The salts that a class needs: all if it has several rows, and else that of its one row, so a frequent vector is no hot key."""
+    return F.explode(F.when(often > 1, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(salt(one))))
+
+
 def sample(vectors: DataFrame, size: int, total: int) -> np.ndarray:
     """About ``size`` vectors, chosen by a hash of the id, in the order of ids."""
     chance = (F.xxhash64("vec_id") % F.lit(1 << 30) + F.lit(1 << 30)) / F.lit(float(1 << 31))
