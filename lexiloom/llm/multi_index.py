@@ -4,13 +4,15 @@ Vectors are brought to unit length and cut in halves.  Two codebooks, one for ea
 k-means on a bounded sample; their product is a grid of cells, and each vector lies in the cell of its
 nearest centroids.  A vector visits cells by the multi-sequence traversal, in the order of the summed
 squared *excess*, the distance to a cell's centroid beyond that to the nearest one, until the excess
-passes a reach.  The reach is set for ``TARGET`` recall at the limit: on pairs drawn from the sample
+passes a reach.  Codebooks grow with the table: they are doubled as long as that saves more comparisons than it
+takes copies to further cells, both counted on the sample.  The reach is set for ``TARGET`` recall at the limit: on pairs drawn from the sample
 whose cosine is exactly the threshold, the partner's cell is within it.  Closer pairs have less excess.
 
 In each cell, residents meet residents and visitors, of one label, in blocks of bounded size; cosines
 are confirmed in double precision.  A pair that two cells could see is counted in one only.  Tasks return
 link counts and links that join components, so output is linear in the rows.  Equal vectors of a label
-are one class with a count, as their links are the same.
+are one class with a count, as their links are the same; classes are joined by a salted hash, so that a
+frequent vector is no hot key.
 
 Defined cases: null, zero and not finite vectors, other lengths than the most frequent, null labels: no
 links, a component of its own; rows without an id are not returned; repeated rows are vectors of their
@@ -31,9 +33,11 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 from .components import components
 from .minhash import _Joined
-from .vectors import matrix, sample, usable, usual_length
+from .vectors import matrix, salt, salts, sample, usable, usual_length, with_hash
 
-COSINE, CENTROIDS, SAMPLE, ROUNDS, TARGET, BLOCK, SEED = 0.98, 24, 20_000, 12, 0.9995, 2000, 5
+COSINE, CENTROIDS, MOST_CENTROIDS, SAMPLE, ROUNDS, TARGET, BLOCK, SEED = 0.98, 24, 1536, 20_000, 12, 0.9995, 8192, 5
+#: What a copy of a vector to one more cell costs, in comparisons of two vectors.
+COPY = 200
 
 
 def codebook(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -93,6 +97,25 @@ def fit(x: np.ndarray, cosine: float = COSINE, k: int = CENTROIDS, target: float
     return index
 
 
+def fit_for(x: np.ndarray, total: int, cosine: float = COSINE) -> MultiIndex:
+    """The index of the least estimated cost for ``total`` rows; codebooks stay within the sample's means."""
+    k, best = CENTROIDS, fit(x, cosine)
+    few = x[:300]
+
+    def cost(index: MultiIndex) -> tuple[float, float]:
+        visits = float(np.mean([len(index.visit(a, b)) for a, b in zip(*index.excess(few), strict=True)]))
+        return visits * COPY, visits * total / (len(index.halves[0]) * len(index.halves[1]))
+
+    least = cost(best)
+    while 2 * k <= min(MOST_CENTROIDS, len(x) // 8) and least[1] > least[0]:  # more cells never take fewer copies
+        k *= 2
+        finer = fit(x, cosine, k)
+        if sum(own := cost(finer)) >= sum(least):
+            break
+        best, least = finer, own
+    return best
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each vector with an id."""
     spark = vectors.sparkSession
@@ -100,15 +123,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     every = every.filter("vec_id IS NOT NULL")
     part = every.filter(usable() & F.col("label").isNotNull())
     n = usual_length(part)
-    part = part.filter(F.size("embedding") == max(n, 1))
-    classes = part.groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
+    part = with_hash(part.filter(F.size("embedding") == max(n, 1)))
+    classes = part.groupBy("label", "h", "g").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.min_by("embedding", "vec_id").alias("embedding"))
     classes = materialize(classes, "vector-classes")
     total = classes.count()
     if not total:
         alone = every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
         return alone
     x = sample(classes, SAMPLE, total)
-    index = spark.sparkContext.broadcast(fit(x / np.linalg.norm(x, axis=1, keepdims=True), cosine))  # bounded by CENTROIDS
+    index = spark.sparkContext.broadcast(fit_for(x / np.linalg.norm(x, axis=1, keepdims=True), total, cosine))  # bounded by MOST_CENTROIDS
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -180,8 +203,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     counts = met.groupBy(F.col("a").alias("class_id")).agg(F.sum("n_links").alias("linked"))
     joined = components(met.filter("b IS NOT NULL").select("a", "b")).withColumnRenamed("id", "class_id")
     found = classes.withColumnRenamed("vec_id", "class_id").join(counts, "class_id", "left").join(joined, "class_id", "left")
-    found = found.select("label", "embedding", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "class_id").alias("component"))
-    out = every.join(found, ["label", "embedding"], "left").withColumn("component_id", F.coalesce("component", "vec_id"))
+    found = found.select(
+        "label", "h", "g", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "class_id").alias("component"), salts(F.col("copies"), "class_id").alias("salt")
+    )
+    keyed = with_hash(every).select("vec_id", F.when(usable() & F.col("label").isNotNull() & (F.size("embedding") == max(n, 1)), salt("vec_id")).alias("salt"), "label", "h", "g")
+    out = keyed.join(found, ["label", "h", "g", "salt"], "left").withColumn("component_id", F.coalesce("component", "vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
 
 

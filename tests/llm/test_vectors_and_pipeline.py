@@ -19,7 +19,7 @@ def test_neighbours(spark, monkeypatch):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((900, 16)).astype(np.float32)
     x[100:160] = x[3]  # copies tie
-    for name, value in (("BLOCK", 100), ("LEAF", 60)):
+    for name, value in (("BLOCK_BYTES", 100 * 16 * 8), ("LEAF", 60), ("SCORES", 500)):
         monkeypatch.setattr(neighbours, name, value)
     df = vectors(spark, x, [0] * 900)
     got = {}
@@ -43,6 +43,37 @@ def test_neighbours(spark, monkeypatch):
     assert neighbours.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_of_equal_score_go_by_id(spark):
+    """Integer vectors, whose scores tie without the vectors being equal; a vector that a third of all rows are, queries too."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(-1, 2, (600, 16)).astype(np.float32)
+    x[~x.any(1)] = 1
+    x[rng.permutation(600)[:200]] = x[7]
+    ids = rng.permutation(4000)[:600]
+    got = {}
+    for r in neighbours.nearest(vectors(spark, x, [0] * 600, ids), F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    d, right = x.astype(np.float64), 0
+    for i in np.flatnonzero(ids % 20 == 0):
+        scores = d @ d[i]
+        best = [j for j in np.lexsort((ids, -scores)) if j != i][:20]
+        right += [(n + 1, int(ids[j]), scores[j]) for n, j in enumerate(best)] == sorted(got[ids[i]])
+    assert right >= 0.9 * len(got) and len(got) == (ids % 20 == 0).sum()
+    twice = spark.createDataFrame([(20, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [2.0, 0.0]), (2, [0.0, 3.0]), (2, [0.0, 3.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in neighbours.nearest(twice, F.col("vec_id") % 20 == 0).orderBy("rank").collect()][:2] == [(20, 1, 2, 3.0), (20, 2, 1, 2.0)]
+
+
+def test_best_of_keeps_the_smallest_ids_of_ties():
+    rng = np.random.default_rng(4)
+    x, q = rng.integers(-2, 3, (306, 8)).astype(float), rng.integers(-2, 3, (40, 8)).astype(float)
+    ids = rng.permutation(306)
+    r, scores, found = neighbours.best_of(q, x, __import__("pyarrow").array([[int(i)] for i in ids]), 21)
+    for i in range(40):
+        exact = x @ q[i]
+        best = np.lexsort((ids, -exact))[:21]
+        assert found[r == i].tolist() == ids[best].tolist() and scores[r == i].tolist() == exact[best].tolist()
+
+
 def test_embedding_near_duplicates(spark, monkeypatch):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((12, 16))
