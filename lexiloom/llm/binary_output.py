@@ -1,18 +1,19 @@
 """Token ids as flat binary files with 64-bit document offsets.
 
-Documents are dealt to shards by ranges of ``doc_id`` and sorted within them.  A shard is
+Documents are dealt to shards by ranges of ``doc_id``, and of a hash of the text so that a much repeated id is
+spread too, and sorted within them.  A shard is
 ``<name>.bin`` (ids one after another, unsigned, 16 bits wide where the vocabulary fits and else
 32), ``<name>.idx`` (signed 64-bit starts within the shard, one more than documents) and
-``<name>.ids`` (64-bit document ids).  A shard's base, the ids in all shards before it, is a prefix
+``<name>.ids`` (64-bit document ids, each with a further 64-bit word that is 1 where the id is null).  A shard's base, the ids in all shards before it, is a prefix
 sum over shards kept in the manifest; ``base + idx`` is a document's place in the whole sequence.
 
 A task writes under names of its own and returns them; only names in the manifest count, so tasks
 that are run again or twice do no harm.  Files go to the shared folder, by ``pyarrow.fs`` where that
 is not a mounted one; mounted files are memory-mapped when read.
 
-Defined cases: a null or empty text is the end id alone; a null ``doc_id`` sorts first and is written
-as -1; repeated rows are written each, ties of ``doc_id`` in the order of their texts; an empty table
-gives no shards and no rows.
+Defined cases: a null or empty text is the end id alone; a null ``doc_id`` sorts first and is read back as
+null; repeated rows are written each, ties of ``doc_id`` in the order of their texts' hashes, then texts; a long text is
+encoded whole; an empty table gives no shards and no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -43,7 +44,8 @@ def _create(folder: str, name: str):
 def write(docs: DataFrame, folder: str, end_id: int = END_ID, tokenizer: str = WORD_BPE, shards: int | None = None) -> DataFrame:
     """Write the shards; the manifest: a row a shard, with its base, in the order of doc_id."""
     spark = docs.sparkSession
-    dealt = documents(docs).repartitionByRange(shards or partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    tie = documents(docs).withColumn("tie", F.xxhash64("text"))
+    dealt = tie.repartitionByRange(shards or partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -55,7 +57,8 @@ def write(docs: DataFrame, folder: str, end_id: int = END_ID, tokenizer: str = W
             if out is None:
                 name = f"{shard:06d}-{uuid.uuid4().hex}"
                 out, end = _create(folder, f"{name}.bin"), np.array([end_id], enc.dtype).tobytes()
-            ids.append(np.array([-1 if x is None else x for x in batch.column("doc_id").to_pylist()], "<i8"))
+            own = batch.column("doc_id")
+            ids.append(np.stack([own.fill_null(0).to_numpy(), own.is_null().to_numpy(zero_copy_only=False)], 1).astype("<i8"))
             for text in batch.column("text"):
                 tokens = enc.encode(text.as_py())
                 out.write(tokens.tobytes() + end)
@@ -93,10 +96,10 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 ids = _map(folder, f"{row['name']}.bin", row["dtype"])
-                at, docs = _map(folder, f"{row['name']}.idx", "<i8"), _map(folder, f"{row['name']}.ids", "<i8")
+                at, docs = _map(folder, f"{row['name']}.idx", "<i8"), _map(folder, f"{row['name']}.ids", "<i8").reshape(-1, 2)
                 crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs), pa.array(at[:-1] + row["base"]), pa.array(np.diff(at)), pa.array(crc, pa.int64())],
+                    [pa.array(docs[:, 0], mask=docs[:, 1] == 1), pa.array(at[:-1] + row["base"]), pa.array(np.diff(at)), pa.array(crc, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
