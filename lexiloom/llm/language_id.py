@@ -12,10 +12,11 @@ passages of ``PASSAGE`` characters at least half cost more too (a mixture of lan
 passages have), is of none of the languages, and ``strict`` identification says ``und``.  The limit lies above the cost of every training
 row, at the share ``REJECT`` of the way to the cost of a text that the classifiers know nothing of.
 
-The classifiers are fitted on about ``SAMPLE`` rows of each language, chosen by a hash of the id; the
-prediction reads every text whole.
+The classifiers are fitted on about ``SAMPLE`` rows of each language, chosen by a hash of the id, or fewer where there are
+many languages: ``TOTAL`` rows in all, but ``FEWEST`` of each at least.  Every language is learned.  The
+prediction reads every text whole, by blocks.
 
-Defined cases: a null text, or one without a letter, is ``und`` with score 0 and not ambiguous; with
+Defined cases: codewords of equal cost: the language that comes first by name; a null text, or one without a letter, is ``und`` with score 0 and not ambiguous; with
 no labelled row at all every text is ``und``; with one language, that one with score 1.  Repeated rows and null ids are predicted
 as they are (a null id is not held out and never learned from); an empty table gives no rows.
 """
@@ -35,7 +36,7 @@ from pyspark.sql import types as T
 from .common import fold, table
 from .textstats import ngram_counts
 
-ORDERS, BITS, SAMPLE, MOST_LANGUAGES = (2, 3, 4), 13, 1000, 200
+ORDERS, BITS, SAMPLE, TOTAL, FEWEST, ROWS = (2, 3, 4), 13, 1000, 8000, 20, 1000
 STEPS, RATE, DECAY = 80, 12.0, 1e-4
 AMBIGUOUS = 0.2
 REJECT, PASSAGE = 0.75, 200
@@ -92,39 +93,55 @@ class LanguageModel:
         return self.languages[first], float(p[first]), bool(p[first] - p[second] < AMBIGUOUS)
 
 
-def fit(x: np.ndarray, langs: list[str]) -> LanguageModel:
-    """One logistic classifier a bit, all at once, by gradient steps with momentum."""
+Sparse = tuple[np.ndarray, np.ndarray]  # places and values of a row
+
+
+def dense(rows: list[Sparse]) -> np.ndarray:
+    x = np.zeros((len(rows), 1 << BITS), np.float32)
+    for i, (places, values) in enumerate(rows):
+        x[i, places] = values
+    return x
+
+
+def fit(rows: list[Sparse], langs: list[str]) -> LanguageModel:
+    """One logistic classifier a bit, all at once, by gradient steps with momentum; ``ROWS`` rows are made dense at a time."""
     names = sorted(set(langs))
     if len(names) < 2:
         return LanguageModel(names)
-    which = np.array([names.index(v) for v in langs])
-    target = codewords(len(names))[which].astype(np.float32)
+    number = {v: i for i, v in enumerate(names)}
+    which = np.array([number[v] for v in langs])
+    code = codewords(len(names))
+    target = code[which].astype(np.float32)
     share = (1 / np.bincount(which)[which] / len(names)).astype(np.float32)[:, None]  # languages count alike
-    w, b = np.zeros((x.shape[1], target.shape[1]), np.float32), np.zeros(target.shape[1], np.float32)
+    blocks = [slice(i, i + ROWS) for i in range(0, len(rows), ROWS)]
+    held = [dense(rows[own]) for own in blocks[:8]]  # what is dense at once is bounded
+    part = lambda i: held[i] if i < len(held) else dense(rows[blocks[i]])
+    w, b = np.zeros((1 << BITS, target.shape[1]), np.float32), np.zeros(target.shape[1], np.float32)
     vw, vb = np.zeros_like(w), np.zeros_like(b)
     for _ in range(STEPS):
-        pull = share * target / (1 + np.exp(target * (x @ w + b)))
-        vw = 0.9 * vw + x.T @ pull - DECAY * w
-        vb = 0.9 * vb + pull.sum(0)
+        vw, vb = 0.9 * vw - DECAY * w, 0.9 * vb
+        for i, own in enumerate(blocks):
+            x = part(i)
+            pull = share[own] * target[own] / (1 + np.exp(target[own] * (x @ w + b)))
+            vw += x.T @ pull
+            vb += pull.sum(0)
         w, b = w + RATE * vw, b + RATE * vb
-    right = ((target * (x @ w + b) > 0) * share).sum(0)
-    trust = np.maximum(right - 0.5, 1e-3)
+    margin = np.concatenate([part(i) @ w + b for i in range(len(blocks))])
+    trust = np.maximum(((target * margin > 0) * share).sum(0) - 0.5, 1e-3)
     trust = trust / trust.sum() * len(trust)
-    code = codewords(len(names))
-    most = max(float(costs(margin, code, trust).min()) for margin in x @ w + b)
+    most = max(float(costs(m, code, trust).min()) for m in margin)
     unknown = float(costs(np.zeros(len(trust)), code, trust)[0])
     return LanguageModel(names, w, b, trust, most + REJECT * max(0.0, unknown - most))
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
-    """Fit on about ``sample`` rows of each of the most frequent languages of ``doc_id, text, lang``."""
+    """Fit on about ``sample`` rows of each language of ``doc_id, text, lang``, fewer if languages are many."""
     known = labelled.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
-        return LanguageModel()
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample / r["count"]))))
+    counts = known.groupBy("lang").count()  # a row a language, far less than the model has for it
+    languages = counts.count()
+    each = max(FEWEST, min(sample, TOTAL // max(1, languages)))
     chance = (F.xxhash64(F.col("doc_id")) % F.lit(1 << 30) + F.lit(1 << 30)) / F.lit(float(1 << 31))
-    chosen = known.filter(chance < F.try_element_at(share, F.col("lang"))).select("lang", "text")
+    chosen = known.join(F.broadcast(counts), "lang").filter(chance < F.lit(float(each)) / F.col("count")).select("lang", "text")
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -136,10 +153,8 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
             )
 
     rows = chosen.mapInArrow(featurize, "lang string, places array<int>, values array<float>").toArrow()
-    x = np.zeros((rows.num_rows, 1 << BITS), np.float32)
-    for i, (places, values) in enumerate(zip(rows["places"], rows["values"], strict=True)):
-        x[i, places.values.to_numpy(zero_copy_only=False)] = values.values.to_numpy(zero_copy_only=False)
-    return fit(x, rows["lang"].to_pylist())
+    sparse = [(p.values.to_numpy(zero_copy_only=False), v.values.to_numpy(zero_copy_only=False)) for p, v in zip(rows["places"], rows["values"], strict=True)]
+    return fit(sparse, rows["lang"].to_pylist())
 
 
 def identify(docs: DataFrame, model: LanguageModel, strict: bool = False) -> DataFrame:
