@@ -1,15 +1,16 @@
 """Quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
 
 A text is a sparse vector: its words, hashed, with damped counts at unit length in total; and one
-place for the range in which each structure statistic (and the text's length) lies.  The score is the
+place for the range in which each structure statistic lies, and the metadata ``n_chars`` where the table has it.  The score is the
 logistic of ``w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j``, the pairwise part in linear time as
 half of ``sum_f (sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2``.
 
 It is fitted on about ``SAMPLE`` labelled rows, half of each class, chosen by a hash of the id; the
-intercept is then put right for the classes' shares.  Scoring reads every text whole.  Language,
+intercept is then put right for the classes' shares.  Scoring reads every text whole, by blocks, however long.  Language,
 source and id are not inputs.
 
-Defined cases: a null text is scored as an empty one; without labelled rows every score is 0.5, with
+Defined cases: a null text is scored as an empty one; a null ``n_chars``, or a table without it, has a range of its own;
+a score of exactly 0.5 is predicted 1; without labelled rows every score is 0.5, with
 one class that class's smoothed share; of repeated labels for an id the lowest counts; repeated rows
 and null ids are scored as they are (a null id is not held out and never learned from); an empty table
 gives no rows.
@@ -62,20 +63,20 @@ def statistics(raw: np.ndarray, words: np.ndarray, lower: np.ndarray) -> np.ndar
     return np.concatenate([np.searchsorted(SHARES, shares), np.searchsorted(SIZES, sizes)])
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Places and values of a text's sparse vector."""
+def features(text: str | None, n_chars: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the sparse vector of a text and its metadata."""
     text = text or ""
     raw, lower = np.frombuffer(text.encode(), np.uint8), np.frombuffer(text.lower().encode(), np.uint8)
     words = word_hashes(lower)
     places, counts = np.unique(words >> np.uint64(64 - WORD_BITS), return_counts=True)
     values = np.log1p(counts)
     values = values / max(1.0, np.sqrt((values**2).sum()))
-    ranges = statistics(raw, words, lower)
+    ranges = np.append(statistics(raw, words, lower), 0 if n_chars is None else 1 + np.searchsorted(SIZES, n_chars))
     stats = (1 << WORD_BITS) + np.arange(len(ranges)) * RANGES + ranges
     return np.concatenate([places.astype(np.int64), stats]), np.concatenate([values, np.full(len(stats), 0.3)]).astype(np.float32)
 
 
-DIMENSION = (1 << WORD_BITS) + N_STATS * RANGES
+DIMENSION = (1 << WORD_BITS) + (N_STATS + 1) * RANGES
 
 
 @dataclass
@@ -88,8 +89,13 @@ class FactorisationMachine:
         vx = self.v[places] * values[:, None]
         return float(self.w0 + self.w[places] @ values + 0.5 * ((vx.sum(0) ** 2).sum() - (vx**2).sum()))
 
-    def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.margin(*features(text)), -30, 30))))
+    def score(self, text: str | None, n_chars: int | None = None) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.margin(*features(text, n_chars)), -30, 30))))
+
+
+def n_chars(docs: DataFrame):
+    """The metadata column as a long, null where the table has none."""
+    return F.col("n_chars").try_cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: float = 0.5) -> FactorisationMachine:
@@ -138,11 +144,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorisa
     chance = (F.xxhash64(F.col("doc_id")) % F.lit(1 << 30) + F.lit(1 << 30)) / F.lit(float(1 << 31))
     share = F.when(F.col("quality") == 1, min(1.0, sample / 2 / counts.get(1, 1))).otherwise(min(1.0, sample / 2 / counts.get(0, 1)))
     chosen = marked.filter(chance < share)  # about ``sample`` rows of two numbers: small enough to broadcast at any size
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
+    picked = docs.select("doc_id", "text", n_chars(docs).alias("size")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "size", F.col("quality").cast("int").alias("quality"))
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [features(t.as_py()) for t in b.column("text")]
+            rows = [features(t.as_py(), n) for t, n in zip(b.column("text"), b.column("size").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("quality"), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.float32()))],
                 ["doc_id", "quality", "places", "values"],
@@ -161,12 +167,12 @@ def score(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = [shared.value.score(t.as_py()) for t in b.column("text")]
+            scores = [shared.value.score(t.as_py(), n) for t, n in zip(b.column("text"), b.column(b.num_columns - 1).to_pylist(), strict=True)]
             more = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *more], [*b.schema.names[:-1], "score", "predicted"])
 
     more = T.StructType().add("score", "double").add("predicted", "integer")
-    return kept.mapInArrow(run, T.StructType(kept.schema.fields + more.fields))
+    return kept.withColumn("_size", n_chars(docs)).mapInArrow(run, T.StructType(kept.schema.fields + more.fields))
 
 
 def held_out(column: str = "doc_id"):
@@ -174,6 +180,6 @@ def held_out(column: str = "doc_id"):
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     model = train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality").filter(~held_out()))
     return score(docs.withColumn("held_out", held_out()), model).select("doc_id", "held_out", "score", "predicted")

@@ -266,6 +266,41 @@ def test_language_id(spark):
     assert language_id.identify(df.limit(0), model).count() == 0
 
 
+def test_decoding_by_brute_force():
+    """The loss-weighted nearest codeword, found by going through all codewords and bits one by one."""
+    import math
+
+    rng = np.random.default_rng(11)
+    for n in (2, 3, 5, 9):
+        names, code = [f"l{i}" for i in range(n)], language_id.codewords(n)
+        model = language_id.LanguageModel(names, rng.standard_normal((1 << language_id.BITS, code.shape[1])), rng.standard_normal(code.shape[1]), rng.random(code.shape[1]) + 0.1)
+        for _ in range(30):
+            text = "".join(rng.choice(list("abcdeé xyz"), int(rng.integers(1, 40)))) + "a"
+            x = language_id.features(text)
+            cost = [sum(model.trust[j] * math.log1p(math.exp(-code[i, j] * (sum(float(x[k]) * model.weights[k, j] for k in np.flatnonzero(x)) + model.bias[j]))) for j in range(code.shape[1])) for i in range(n)]
+            p = [math.exp(-c) / sum(math.exp(-d) for d in cost) for c in cost]
+            best = min(range(n), key=lambda i: (cost[i], i))
+            lang, score, ambiguous = model.predict(text)
+            assert lang == names[best] and math.isclose(score, p[best], rel_tol=1e-6)
+            assert ambiguous == (sorted(p)[-1] - sorted(p)[-2] < language_id.AMBIGUOUS)
+    tied = language_id.LanguageModel(["x", "y", "z"], np.zeros((1 << language_id.BITS, language_id.codewords(3).shape[1])), np.zeros(language_id.codewords(3).shape[1]), np.ones(language_id.codewords(3).shape[1]))
+    assert tied.predict("words") == ("x", pytest.approx(1 / 3), True)
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    """Many languages, and a text of several blocks."""
+    rng = random.Random(12)
+    letters = [chr(0x4E00 + 40 * i + j) for i in range(230) for j in range(12)]
+    text = lambda i: "".join(rng.choice(letters[12 * i : 12 * i + 12]) for _ in range(40))
+    rows = [(8 * i + j, text(i), f"l{i:03d}") for i in range(230) for j in range(8)]
+    monkeypatch.setattr(language_id, "STEPS", 12)
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 230
+    assert sum(model.predict(text(i))[0] == f"l{i:03d}" for i in range(230)) >= 220
+    monkeypatch.setattr(textstats, "BLOCK", 64)
+    assert model.predict("".join(text(7) for _ in range(300)))[0] == "l007"
+
+
 @pytest.mark.parametrize("n", [2, 3, 5, 8, 20])
 def test_codewords_differ_in_half_of_the_bits(n):
     code = language_id.codewords(n)
@@ -286,6 +321,24 @@ def test_quality(spark):
     assert {r.score for r in quality.score(docs, quality.train(docs, labels.filter("false"))).collect()} == {0.5}
     assert quality.train(docs, labels.filter("quality = 1")).score("x") > 0.9
     assert quality.score(docs.limit(0), model).count() == 0
+    long = spark.createDataFrame([(1, "word " * 300_000 + good(), 7), (1, None, None)], "doc_id long, text string, n_chars long")
+    assert [r.n_chars for r in quality.score(long, model).orderBy("n_chars").collect()] == [None, 7]
+    half = quality.FactorisationMachine(0.0, np.zeros(quality.DIMENSION), np.zeros((quality.DIMENSION, 2)))
+    assert {(r.score, r.predicted) for r in quality.score(long, half).collect()} == {(0.5, 1)}
+
+
+def test_quality_from_end_to_end_by_brute_force():
+    """Scores of a fitted machine, by all pairs of features one by one."""
+    import math
+
+    rng = np.random.default_rng(13)
+    texts = ["good words here " * int(rng.integers(1, 4)) if i % 2 else "BUY!! | 12 " * int(rng.integers(1, 4)) for i in range(80)]
+    model = quality.fit([quality.features(t, len(t)) for t in texts], np.arange(80) % 2)
+    for t in texts[:6]:
+        x = list(zip(*quality.features(t, len(t))))
+        z = model.w0 + sum(model.w[i] * a for i, a in x) + sum(float(model.v[i] @ model.v[j]) * a * b for (i, a), (j, b) in combinations(x, 2))
+        assert math.isclose(model.score(t, len(t)), 1 / (1 + math.exp(-z)), rel_tol=1e-3)
+        assert (model.score(t, len(t)) >= 0.5) == t.startswith("good")
 
 
 def test_pairwise_part_is_linear_identity():
