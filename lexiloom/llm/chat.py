@@ -15,17 +15,20 @@ Defined cases: a null role or text is empty; a null ``turn`` sorts first, ties o
 role, then text; repeated rows stay as turns of their own; a null ``conv_id`` is a conversation;
 a turn longer than the budget has a window to itself and is never cut; an empty table gives no rows.
 Tokens are estimated as a quarter of the code points, rounded up, plus ``TURN_TOKENS``.
-A conversation is gathered as one row because its digest is of the whole of it.
+other columns are not looked at.  A conversation is gathered as one row because its digest is of the whole of it;
+the work grows in proportion to its turns: prefix sums are a window function, a window takes a slice of the turns, and
+looks back no further than ``history`` can reach.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
 
 BUDGET, HISTORY, TURN_TOKENS = 1024, 128, 4
+STARTS = 512  # windows whose starts are gathered at a time
 EXTRA = "(-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]')"
 
 
@@ -47,53 +50,72 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     ``repeated``, and whether its text is under the ``loss`` mask.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    turns = conversations.select(
-        "conv_id", F.struct(F.col("turn").cast("long").alias("turn"), text("role").alias("role"), text("text").alias("text")).alias("t")
-    )
-    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    cost = F.transform("turns", lambda t: F.ceil(F.length(t["text"]) / F.lit(4)).cast("long") + F.lit(TURN_TOKENS))
-    summed = F.aggregate(
-        "cost",
-        F.array(F.lit(0).cast("long")),
-        lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + c)),
-    )
-    whole = (
-        whole.withColumn("cost", cost)
-        .withColumn("upto", summed)  # upto[i]: tokens of the first i turns
-        .withColumn("system", F.when(F.col("turns")[0]["role"] == "system", 1).otherwise(0))
-        .withColumn("room", F.greatest(F.lit(1), F.lit(budget - history) - F.when(F.col("system") == 1, F.col("cost")[0]).otherwise(0)))
-    )
-    # The next window starts at the first turn whose end lies beyond the room.
+    turns = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), text("role").alias("role"), text("text").alias("text"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    cost = F.ceil(F.length("text") / F.lit(4)).cast("long") + F.lit(TURN_TOKENS)
+    so_far = F.sum(cost).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    turns = turns.select("conv_id", F.struct((F.row_number().over(order) - 1).alias("i"), so_far.alias("upto"), cost.alias("cost"), "role", "text").alias("t"))
+    whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    whole = whole.withColumn("system", F.when(F.col("turns")[0]["role"] == "system", 1).otherwise(0))
+    whole = whole.withColumn("room", F.greatest(F.lit(1), F.lit(budget - history) - F.when(F.col("system") == 1, F.col("turns")[0]["cost"]).otherwise(0)))
+    # The next window starts at the first turn whose end lies beyond the room.  Starts are gathered a few hundred at a time.
+    empty = F.array().cast("array<int>")
+    room = lambda acc, t: (t["i"] > 0) & (t["upto"] - acc["since"] > acc["room"])
+    full = lambda acc: F.size(acc["recent"]) >= STARTS
     starts = F.aggregate(
-        F.sequence(F.lit(1), F.size("turns") - 1),
-        F.array(F.lit(0)),
-        lambda acc, i: F.when(
-            F.get("upto", i + 1) - F.get("upto", F.element_at(acc, -1)) > F.col("room"), F.concat(acc, F.array(i))
+        "turns",
+        F.struct(F.lit(0).cast("long").alias("since"), F.col("room").cast("long").alias("room"), F.array(F.lit(0)).alias("recent"), F.array().cast("array<array<int>>").alias("older")),
+        lambda acc, t: F.when(
+            room(acc, t),
+            F.struct(
+                (t["upto"] - t["cost"]).alias("since"),
+                acc["room"].alias("room"),
+                F.concat(F.when(full(acc), empty).otherwise(acc["recent"]), F.array(t["i"])).alias("recent"),
+                F.when(full(acc), F.concat(acc["older"], F.array(acc["recent"]))).otherwise(acc["older"]).alias("older"),
+            ),
         ).otherwise(acc),
+        lambda acc: F.concat(F.flatten(acc["older"]), acc["recent"]),
     )
-    whole = whole.withColumn("starts", F.when(F.size("turns") > 1, starts).otherwise(F.array(F.lit(0))))
-    each = whole.select("*", F.posexplode("starts").alias("window", "first"))
-    each = each.withColumn("after", F.coalesce(F.get("starts", F.col("window") + 1), F.size("turns")))
-    back = F.filter(
-        F.sequence(F.lit(0), F.col("first")),
-        lambda i: (F.get("upto", F.col("first")) - F.get("upto", i) <= history) | (i == F.col("first")),
+    whole = whole.select("conv_id", "turns", "system", starts.alias("starts"))
+    before = lambda i: F.get("turns", i)["upto"] - F.get("turns", i)["cost"]
+    # A turn takes TURN_TOKENS at least, so only so many turns can be repeated.
+    back = lambda first: F.element_at(
+        F.filter(F.sequence(F.greatest(F.lit(0), first - F.lit(history // TURN_TOKENS)), first), lambda i: (before(first) - before(i) <= history) | (i == first)), 1
     )
-    each = each.withColumn("from", F.greatest(F.element_at(back, 1), F.least(F.col("system"), F.col("first"))))
-    shown = F.sequence(F.col("from"), F.col("after") - 1)
-    shown = F.when((F.col("system") == 1) & (F.col("from") > 0), F.concat(F.array(F.lit(0)), shown)).otherwise(shown)
-    each = each.withColumn(
-        "parts",
-        F.transform(
-            shown,
-            lambda i: F.struct(
-                i.alias("turn_index"),
-                escape(F.get("turns", i)["role"]).alias("role"),
-                escape(F.get("turns", i)["text"]).alias("text"),
-                (i < F.col("first")).alias("repeated"),
-                ((i >= F.col("first")) & (F.get("turns", i)["role"] == "assistant")).alias("loss"),
-            ),
+    spanned = F.transform(
+        "starts",
+        lambda first, w: F.struct(
+            w.alias("window"),
+            first.alias("first"),
+            F.greatest(back(first), F.least(F.col("system"), first)).alias("from"),
+            F.coalesce(F.get("starts", w + 1), F.size("turns")).alias("after"),
+        ),
+    )
+    whole = whole.select("conv_id", "turns", "system", spanned.alias("spanned"))
+    taken = F.transform(
+        "spanned",
+        lambda s: F.struct(
+            s["window"].alias("window"),
+            s["first"].alias("first"),
+            F.concat(
+                F.when((F.col("system") == 1) & (s["from"] > 0), F.slice("turns", F.lit(1), F.lit(1))).otherwise(F.slice("turns", F.lit(1), F.lit(0))),
+                F.slice("turns", s["from"] + 1, s["after"] - s["from"]),
+            ).alias("turns"),
+        ),
+    )
+    # An outer explode: the other kind would have all of the above once more in a filter.
+    each = whole.select("conv_id", F.explode_outer(taken).alias("own")).select("conv_id", "own.*")
+    parts = F.transform(
+        "turns",
+        lambda t: F.struct(
+            t["i"].alias("turn_index"),
+            escape(t["role"]).alias("role"),
+            escape(t["text"]).alias("text"),
+            (t["i"] < F.col("first")).alias("repeated"),
+            ((t["i"] >= F.col("first")) & (t["role"] == "assistant")).alias("loss"),
         ),
     )
+    each = each.select("conv_id", "window", parts.alias("parts"))
     frame = len("<||>\n<|end|>\n")
     ends = F.aggregate(
         "parts",

@@ -66,6 +66,21 @@ def test_chat_windows(spark):
     assert chat.read_back(chat.windows(df.limit(0))).count() == 0
 
 
+def test_a_very_long_conversation(spark, monkeypatch):
+    """Twenty thousand turns, in shuffled rows with clashing columns, in time that grows with the turns."""
+    rng = random.Random(21)
+    roles = ["system"] + ["user", "assistant"] * 10_000
+    texts = ["".join(rng.choice("ab <&[") for _ in range(rng.randint(0, 160))) for _ in roles]
+    rows = [(1, i, r, t, "x", "y") for i, (r, t) in enumerate(zip(roles, texts))]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, upto string, parts string")
+    monkeypatch.setattr(chat, "STARTS", 64)
+    got = chat.read_back(chat.windows(df)).collect()[0]
+    assert got.n_turns == len(rows) and got.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in zip(roles, texts)).encode()).hexdigest()
+    loss = "".join(b for a, b in zip(roles, texts) if a == "assistant")
+    assert (got.loss_chars, got.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
 # MinHash and components
 
 
