@@ -1,7 +1,8 @@
-"""Session helpers: shipping this package to Python workers."""
+"""Session helpers: shipping this package to Python workers, and the folder that all executors share."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import zipfile
 from pathlib import Path
@@ -22,3 +23,40 @@ def ship_package(spark: SparkSession) -> None:
             z.write(source, source.relative_to(_PACKAGE.parent).as_posix())
     context.addPyFile(str(path))
     context._lexiloom_shipped = True
+
+
+_own: dict[str, str] = {}
+_work: set[str] = set()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir`` with its scheme.
+
+    Where that is unset, a local session, whose executors are this process, gets a folder of our own; any other is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        context = spark.sparkContext
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
+        found = _own.get(context.applicationId) or _own.setdefault(context.applicationId, tempfile.mkdtemp(prefix="lexiloom-"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
+def work_folder(spark: SparkSession) -> str:
+    """Where this application's intermediate tables lie in the shared folder; they are deleted when it ends."""
+    out = f"{shared_folder(spark)}/lexiloom/{spark.sparkContext.applicationId}"
+    if out not in _work:
+        _work.add(out)
+        atexit.register(_delete, spark._jvm, spark._jsc.hadoopConfiguration(), out)
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that nothing reads any more."""
+    _delete(spark._jvm, spark._jsc.hadoopConfiguration(), path)
+
+
+def _delete(jvm, configuration, path: str) -> None:
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(configuration).delete(where, True)
