@@ -2,44 +2,40 @@
 
 Intermediate results that are used more than once are written as Parquet under the shared
 folder named in ``spark.checkpoint.dir``.  All executors see that folder, so a lost executor
-costs a reread and not a rerun of the lineage.
+costs a reread and not a rerun of the lineage.  They go when nothing reads them any more, at the latest with the application.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiloom.session import delete, work_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir`` with its scheme; where that is unset (tests), one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        app = spark.sparkContext.applicationId
-        found = _own.setdefault(app, _own.get(app) or tempfile.mkdtemp(prefix="lexiloom-"))
-    path = spark._jvm.org.apache.hadoop.fs.Path(found)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
-
-
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/lexiloom/{label}-{uuid.uuid4().hex}"
+    return f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage ends there."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.lexiloom_path = path
+    return out
+
+
+def release(*written: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that nothing reads any more."""
+    for df in written:
+        delete(df.sparkSession, df.lexiloom_path)
 
 
 def documents(df: DataFrame) -> DataFrame:

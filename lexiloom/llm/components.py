@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,9 +25,10 @@ def components(edges: DataFrame) -> DataFrame:
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("v"))  # noqa: E731, B023
         ways = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = ways.groupBy("a").agg(F.min(rank("b")).alias("low"))
-        points = materialize(low.select("a", F.least(rank("a"), "low")["v"].alias("to")), "points")
-        far = points.select(F.col("a").alias("to"), F.col("to").alias("far"))
-        points = materialize(points.join(far, "to").select("a", F.col("far").alias("to")), "points")
+        first = materialize(low.select("a", F.least(rank("a"), "low")["v"].alias("to")), "points")
+        far = first.select(F.col("a").alias("to"), F.col("to").alias("far"))
+        points = materialize(first.join(far, "to").select("a", F.col("far").alias("to")), "points")
+        old, before = labels, edges
         if labels is None:
             labels = points.select(F.col("a").alias("id"), F.col("to").alias("root"))
         else:
@@ -36,6 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
         ends = points.select(F.col("a").alias("b"), F.col("to").alias("tb"))
         moved = edges.join(points, "a").join(ends, "b").filter("`to` <> tb")
         edges = materialize(moved.select(F.least("to", "tb").alias("a"), F.greatest("to", "tb").alias("b")).distinct(), "edges")
+        release(first, points, before, *([old] if old is not None else []))
     if labels is None:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     least = labels.groupBy("root").agg(F.min("id").alias("component"))

@@ -14,6 +14,8 @@
    at most one a document, so output is linear however many pairs there are.  No bucket is capped.
 5. Components of the confirmed links, expanded from representatives to all copies.
 
+Texts and words of any length are read whole: a text by blocks, and a word that goes over a block's end is carried on.
+
 Defined cases: a null or empty text, or one without words, has no shingles and is a component of its
 own; fewer words than a shingle are one shingle; a null ``doc_id`` takes no part and is not returned;
 repeated ids with differing texts count as one document with the links of each and the largest set;
@@ -33,10 +35,11 @@ from pyspark.sql import functions as F
 from .common import documents, materialize, partitions, table
 from .components import components
 from .textstats import SPACES, mix, word_hashes
+from .vectors import salt, salts
 
 WORDS, PERCENT, BANDS, ROWS = 5, 80, 24, 5
-#: Shingles in a block of a cluster, about; a task holds two blocks.
-BLOCK_SHINGLES = 1_000_000
+#: Shingles in a block of a cluster, about, a document counting as ``LEAST_SHINGLES`` at least; a task holds two blocks.
+BLOCK_SHINGLES, LEAST_SHINGLES = 1_000_000, 200
 #: Bytes of a bit matrix of shared shingles; above it, pairs are compared one by one.
 MATRIX_BYTES = 64 << 20
 LOWER = np.arange(256, dtype=np.uint8)
@@ -168,7 +171,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """``doc_id, n_shingles, component_id, kept`` for each document with an id."""
     texts = documents(docs).filter("doc_id IS NOT NULL")
     sketched = materialize(sketch(texts, words), "sketch")
-    classes = sketched.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.min_by("bands", "doc_id").alias("bands"), F.min("n_shingles").alias("n_shingles"))
+    classes = sketched.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.min_by("bands", "doc_id").alias("bands"), F.min("n_shingles").alias("n_shingles"), F.count("*").alias("copies"))
     classes = materialize(classes, "classes")
     banded = classes.select("class_id", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("class_id").alias("first"), F.max("class_id").alias("last")).filter("first < last")
@@ -176,14 +179,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     clusters = components(near)
     in_cluster = clusters.select(F.col("id").alias("class_id"), F.col("component").alias("cluster"))
     in_cluster = materialize(in_cluster.join(classes.select("class_id", "n_shingles"), "class_id"), "clusters")
-    blocks = in_cluster.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("n_blocks"))
+    blocks = in_cluster.groupBy("cluster").agg(F.ceil(F.sum(F.greatest("n_shingles", F.lit(LEAST_SHINGLES))) / BLOCK_SHINGLES).cast("int").alias("n_blocks"))
     placed = in_cluster.join(blocks, "cluster").select(
         F.col("class_id").alias("doc_id"), "cluster", "n_blocks", F.pmod(F.xxhash64("class_id"), F.col("n_blocks")).cast("int").alias("block")
     )
     # One plan at every size, which sorts no texts: the ids are hashed, each partition having a few.
     links = materialize(_verified(texts.join(placed.hint("shuffle_hash"), "doc_id"), words, percent), "links")
     # Copies of one id with differing texts, and classes through their links.
-    members = sketched.join(classes.select("digest", "class_id"), "digest", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
+    owners = classes.select("digest", "class_id", salts(F.col("copies"), "class_id").alias("salt"))  # a digest of very many copies is no hot key
+    members = sketched.withColumn("salt", salt("doc_id")).join(owners, ["digest", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
     joined = components(links.union(members.filter("doc_id <> class_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))))
     sizes = members.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     out = sizes.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))

@@ -40,7 +40,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, shared_dir, table
+from lexiloom.session import work_folder
+
+from .common import new_path, table
 from .induced import CAP, CHUNK, Scratch, Tape, descending, padded
 from .textstats import BLOCK, hash_spans, mix
 
@@ -301,7 +303,7 @@ def find_spans(spark: SparkSession, folder: str, paths: list[str]) -> DataFrame:
     where, name = fs.FileSystem.from_uri(folder)
     compressed = sum(f.size or 0 for f in where.get_file_info(fs.FileSelector(name)))
     buckets = max(4, int(compressed * 2.5 / 35 / BUCKET_ANCHORS))
-    where, name = fs.FileSystem.from_uri(shared_dir(spark))
+    where, name = fs.FileSystem.from_uri(work_folder(spark))
     scratch = name if isinstance(where, fs.LocalFileSystem) else None  # elsewhere files cannot be mapped
     hot = spark.sparkContext.broadcast(hot_grams(spark.read.parquet(folder)))  # 2**HOT_BITS bytes
 
