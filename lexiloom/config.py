@@ -41,3 +41,12 @@ CACHE_SIZE, RATE_PER_MINUTE, CRAWL_DELAY_S, MAX_URL, MAX_DEPTH = 256, 30, 1.0, 2
 K1_GRID, B_GRID = (0.8, 1.0, 1.2, 1.4, 1.6, 1.8, 2.0), (0.0, 0.25, 0.5, 0.75, 1.0)
 WEIGHT_GRID = tuple(i / 10 for i in range(11))
 BIAS_RATIO = 5.0
+
+#: What is said of a query that cannot be searched.
+QUERY_ERRORS = {
+    "missing": "Query parameter is required.",
+    "control": "Query contains invalid control characters.",
+    "empty": "Query cannot be empty.",
+    "long": "Query is too long (max 200 characters).",
+    "no_word": "Query must contain at least one letter or number.",
+}

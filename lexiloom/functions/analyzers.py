@@ -7,22 +7,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexiloom.config import MAX_QUERY_LENGTH, QUERY_ERRORS
+
 from .stemmer import stem
 
 #: English stop words of the query analyzer.
-STOP_WORDS = (
-    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves "
-    "what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while "
-    "of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there "
-    "when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now d ll m o re ve y "
-    "ain aren couldn didn doesn hadn hasn haven isn ma mightn mustn needn shan shouldn wasn weren won wouldn"
-).split()
-#: Those of them that the engine analyzer keeps as words.
-NOT_ENGINE_STOP_WORDS = (
-    "ain aren couldn d didn doesn don hadn hasn haven herself himself isn itself just ll m ma mightn mustn myself needn now o ours ourselves re s shan should shouldn t "
-    "theirs themselves ve wasn weren whom won wouldn y yours yourself yourselves"
-).split()
-ENGINE_STOP_WORDS = [w for w in STOP_WORDS if w not in set(NOT_ENGINE_STOP_WORDS)]
+STOP_WORDS = (
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself", "yourselves", "he", "him", "his", "himself",
+    "she", "her", "hers", "herself", "it", "its", "itself", "they", "them", "their", "theirs", "themselves", "what", "which", "who", "whom", "this",
+    "that", "these", "those", "am", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "having", "do", "does", "did", "doing",
+    "a", "an", "the", "and", "but", "if", "or", "because", "as", "until", "while", "of", "at", "by", "for", "with", "about", "against", "between",
+    "into", "through", "during", "before", "after", "above", "below", "to", "from", "up", "down", "in", "out", "on", "off", "over", "under", "again",
+    "further", "then", "once", "here", "there", "when", "where", "why", "how", "all", "any", "both", "each", "few", "more", "most", "other", "some",
+    "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "s", "t", "can", "will", "just", "don", "should", "now", "d",
+    "ll", "m", "o", "re", "ve", "y", "ain", "aren", "couldn", "didn", "doesn", "hadn", "hasn", "haven", "isn", "ma", "mightn", "mustn", "needn",
+    "shan", "shouldn", "wasn", "weren", "won", "wouldn",
+)
+#: Stop words of the engine analyzer.
+ENGINE_STOP_WORDS = (
+    "a", "about", "above", "after", "again", "against", "all", "am", "an", "and", "any", "are", "as", "at", "be", "because", "been", "before",
+    "being", "below", "between", "both", "but", "by", "can", "did", "do", "does", "doing", "down", "during", "each", "few", "for", "from", "further",
+    "had", "has", "have", "having", "he", "her", "here", "hers", "him", "his", "how", "i", "if", "in", "into", "is", "it", "its", "me", "more",
+    "most", "my", "no", "nor", "not", "of", "off", "on", "once", "only", "or", "other", "our", "out", "over", "own", "same", "she", "so", "some",
+    "such", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this", "those", "through", "to", "too", "under", "until",
+    "up", "very", "was", "we", "were", "what", "when", "where", "which", "while", "who", "why", "will", "with", "you", "your",
+)
 
 
 def whole_text(title: Column, content: Column) -> Column:
@@ -40,7 +49,7 @@ def is_stop_word(token: Column, words=STOP_WORDS) -> Column:
 
 def plain_tokens(text: Column) -> Column:
     """Basic tokens without stop words."""
-    return F.filter(basic_tokens(text), lambda t: ~t.isin(STOP_WORDS))
+    return F.filter(basic_tokens(text), lambda t: ~t.isin(*STOP_WORDS))
 
 
 @F.pandas_udf(T.StringType())
@@ -68,14 +77,14 @@ def cache_key(query: Column, rerank: bool = False) -> Column:
     return F.concat(key, F.lit("\x1frerank")) if rerank else key
 
 
-def query_error(query: Column, longest: int = 200) -> Column:
+def query_error(query: Column) -> Column:
     """The first thing wrong with a raw query, or null: in a fixed order of checks."""
     return (
-        F.when(query.isNull(), "Query is required.")
-        .when(query.rlike(r"[\x00-\x1f]"), "Query contains control characters.")
-        .when(F.trim(query) == "", "Query cannot be empty.")
-        .when(F.length(query) > longest, "Query is too long.")
-        .when(~query.rlike(r"[\p{L}\p{N}]"), "Query must contain letters or digits.")
+        F.when(query.isNull(), QUERY_ERRORS["missing"])
+        .when(query.rlike(r"[\x00-\x1f]"), QUERY_ERRORS["control"])
+        .when(F.trim(query) == "", QUERY_ERRORS["empty"])
+        .when(F.length(query) > MAX_QUERY_LENGTH, QUERY_ERRORS["long"])
+        .when(~query.rlike(r"[\p{L}\p{N}]"), QUERY_ERRORS["no_word"])
     )
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html as htmllib
 from html.parser import HTMLParser
 from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit, urlunsplit
 
@@ -14,17 +13,19 @@ from pyspark.sql import types as T
 from lexiloom.config import MAX_URL
 
 #: Elements without content, tracking parameters, extensions that are not pages, links that are not followed, accepted types.
-CHROME = frozenset("script style noscript nav footer header aside form".split())
-TRACKING = (
-    "utm_source utm_medium utm_campaign utm_term utm_content utm_id fbclid gclid msclkid mc_cid mc_eid igshid ref ref_src source _ga yclid dclid"
-).split()
-BLOCKED = (
-    "jpg jpeg png gif bmp svg webp ico tiff mp4 avi mkv mov wmv flv webm mp3 wav ogg flac m4a pdf doc docx xls xlsx ppt pptx odt epub zip tar gz bz2 xz 7z rar css js "
-    "json xml rss atom exe dmg iso bin apk deb rpm woff woff2 ttf eot"
-).split()
+CHROME = frozenset(("script", "style", "noscript", "nav", "footer", "header", "aside", "form"))
+TRACKING = (
+    "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "fbclid", "gclid", "msclkid", "mc_cid", "mc_eid", "igshid",
+    "ref", "ref_src", "source", "_ga", "yclid", "dclid",
+)
+BLOCKED = (
+    "jpg", "jpeg", "png", "gif", "bmp", "svg", "webp", "ico", "tiff", "mp4", "avi", "mkv", "mov", "wmv", "flv", "webm", "mp3", "wav", "ogg", "flac",
+    "m4a", "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "odt", "epub", "zip", "tar", "gz", "bz2", "xz", "7z", "rar", "css", "js", "json",
+    "xml", "rss", "atom", "exe", "dmg", "iso", "bin", "apk", "deb", "rpm", "woff", "woff2", "ttf", "eot",
+)
 NOT_LINKS = ("javascript:", "mailto:", "tel:", "#")
 CONTENT_TYPES = ("text/html", "application/xhtml+xml")
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
 RAW_TEXT = frozenset(("script", "style"))
 
 
@@ -58,7 +59,7 @@ def normalize_url(url: Column) -> Column:
     host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).otherwise(F.regexp_replace(host, ":443$", ""))
     path = F.regexp_extract(u, r"^[^:]+://[^/?#]*([^?#]*)", 1)
     pairs = F.filter(
-        F.split(F.regexp_extract(u, r"\?([^#]*)", 1), "&"), lambda p: (p != "") & ~F.lower(F.split_part(p, F.lit("="), F.lit(1))).isin(TRACKING)
+        F.split(F.regexp_extract(u, r"\?([^#]*)", 1), "&"), lambda p: (p != "") & ~F.lower(F.split_part(p, F.lit("="), F.lit(1))).isin(*TRACKING)
     )
     query = F.array_join(F.array_sort(pairs), "&")
     full = F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
@@ -71,7 +72,7 @@ def is_crawlable(url: Column, allowed: tuple[str, ...] = ()) -> Column:
     host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^[^:]+://([^/?#]*)", 1)), r":\d*$", "")
     path = F.lower(F.regexp_extract(url, r"^[^:]+://[^/?#]*([^?#]*)", 1))
     extension = F.regexp_extract(path, r"\.([^./]*)$", 1)
-    ok = (F.length(url) <= MAX_URL) & scheme.isin("http", "https") & (host != "") & ~extension.isin(BLOCKED)
+    ok = (F.length(url) <= MAX_URL) & scheme.isin("http", "https") & (host != "") & ~extension.isin(*BLOCKED)
     for i, domain in enumerate(allowed):
         on = (host == domain) | host.endswith(f".{domain}")
         within = on if i == 0 else within | on  # noqa: F821
@@ -171,7 +172,3 @@ def page_title(html: Column, url: Column) -> Column:
     inner = lambda tag: F.trim(F.regexp_replace(F.regexp_extract(html, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1), r"\s+", " "))
     og = F.trim(F.regexp_extract(html, r'(?is)<meta property="og:title" content="([^"]*)"', 1))
     return F.substring(F.coalesce(*(F.nullif(x, F.lit("")) for x in (inner("title"), inner("h1"), og)), title_from_url(url)), 1, 500)
-
-
-def unescape(text: str) -> str:
-    return htmllib.unescape(text)

@@ -8,15 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.config import PageRank
+from lexiloom.session import work_folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder of ``spark.checkpoint.dir`` and read again; where none is set, a local checkpoint."""
+    """``df`` written to the shared folder and read again, so that the plan does not grow with each round."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.localCheckpoint()  # else the plan doubles with each round
-    path = f"{folder.rstrip('/')}/lexiloom/graph-{uuid.uuid4().hex}"
+    path = f"{work_folder(spark)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -76,12 +74,15 @@ def pagerank(edges: DataFrame, params: PageRank = PageRank(), stop_early: bool =
     return ranks.select("node", "score")
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
-    """``node, depth``: the least number of links from a seed, up to ``max_depth``."""
+def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """``node, depth``: the least number of links from a seed, up to ``max_depth`` or until no node is new."""
     seen = seeds.select("node", F.lit(0).alias("depth")).distinct()
-    frontier = seen
-    for depth in range(1, max_depth + 1):
+    frontier, depth = seen, 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         reached = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
         frontier = cut_lineage(reached.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen

@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.functions import analyzers
+from lexiloom.functions.stemmer import stem
+from lexiloom.session import ship_package
+
+#: What a saved index says it is; another magic or version is not read.
+MAGIC, VERSION = "lexiloom-index", 2
+MANIFEST = "magic string, version int, folder string, analyzer string, n_docs long, source string, saved_at long"
+
+
+class StaleIndex(ValueError):
+    """No saved index, one of another kind or version, or of another state of its source."""
 
 
 def tokens(docs: DataFrame, analyzer: str = "plain", text: str = "text") -> DataFrame:
@@ -25,13 +40,49 @@ def positions(token_rows: DataFrame) -> DataFrame:
 
 
 def postings(token_rows: DataFrame, terms: list[str] | None = None, stemmed: bool = False) -> DataFrame:
-    """``term, doc_id, tf, positions``; with ``terms`` only theirs, filtered before the shuffle."""
-    rows = positions(token_rows)
-    if stemmed:
-        rows = analyzers.stem_terms(rows)
-    if terms is not None:
-        rows = rows.filter(F.col("term").isin(list(terms)))
-    return rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    """``term, doc_id, tf, positions``; with ``terms`` only theirs.
+
+    A posting lies whole within its document's row, so a row a posting is made there, and nothing is shuffled;
+    rows that repeat an id have postings of their own."""
+    ship_package(token_rows.sparkSession)
+
+    def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stems: dict[str, str] = {}
+        for b in batches:
+            lists = b.column("tokens")
+            sizes = lists.value_lengths().fill_null(0).to_numpy()
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            pos = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            encoded = lists.flatten().dictionary_encode()
+            code, words = encoded.indices.to_numpy(), encoded.dictionary
+            if stemmed and len(words):
+                own = words.to_pylist()
+                for w in own:
+                    if w not in stems:
+                        if len(stems) > 1 << 16:
+                            stems.clear()
+                        stems[w] = stem(w)
+                again = pa.array([stems.get(w) or stem(w) for w in own], pa.string()).dictionary_encode()
+                code, words = again.indices.to_numpy()[code], again.dictionary
+            if terms is not None:
+                kept = np.flatnonzero(pa.compute.is_in(words, pa.array(list(terms), pa.string())).to_numpy(zero_copy_only=False)[code]) if len(words) else np.empty(0, np.int64)
+                doc, pos, code = doc[kept], pos[kept], code[kept]
+            key = doc * max(1, len(words)) + code
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(key[order]) != 0)[: len(order)])
+            ends = np.append(first, len(order))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    words.take(pa.array(code[order[first]])),
+                    b.column("doc_id").take(pa.array(doc[order[first]])),
+                    pa.array(np.diff(ends).astype(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(pos[order].astype(np.int32))),
+                ],
+                ["term", "doc_id", "tf", "positions"],
+            )
+
+    kind = token_rows.schema["doc_id"].dataType.simpleString()
+    return token_rows.select("doc_id", "tokens").mapInArrow(invert, f"term string, doc_id {kind}, tf long, positions array<int>")
 
 
 def doc_lengths(token_rows: DataFrame) -> DataFrame:
@@ -58,29 +109,78 @@ def with_pagerank(docs: DataFrame, ranks: DataFrame) -> DataFrame:
     return docs.join(ranks.select("url", F.col("score").cast("float").alias("pagerank")), "url", "left").fillna(0.0, ["pagerank"])
 
 
+def deletions(vocab: DataFrame) -> DataFrame:
+    """``key, word, freq``: what is left of each word without up to two characters, for the spelling lookup."""
+    from .spell import deletions as keys
+
+    return vocab.select(F.explode(keys(F.col("word"))).alias("key"), "word", "freq")
+
+
 @dataclass
 class Index:
-    """The index's tables; ``save`` and ``load`` keep them as Parquet, postings sorted by term so that row groups are skipped."""
+    """The index's tables.
+
+    ``save`` keeps them as Parquet sorted by what they are looked up by, so that row groups are skipped: postings by
+    term, the vocabulary by word, its deletions by key.  Each save has a folder of its own, and counts from when its
+    line is in the manifest, which is written last; so readers never see half an index."""
 
     postings: DataFrame
     lengths: DataFrame
     stats: DataFrame
+    vocab: DataFrame | None = None
+    deletions: DataFrame | None = None
+    analyzer: str = "plain"
 
     @staticmethod
     def build(docs: DataFrame, analyzer: str = "plain", text: str = "text") -> Index:
         rows = tokens(docs, "plain" if analyzer == "query" else analyzer, text)
-        lengths = doc_lengths(rows)
-        return Index(postings(rows, stemmed=analyzer == "query"), lengths, corpus_stats(lengths))
+        lengths, vocab = doc_lengths(rows), vocabulary(docs, text)
+        return Index(postings(rows, stemmed=analyzer == "query"), lengths, corpus_stats(lengths), vocab, deletions(vocab), analyzer)
 
-    def save(self, path: str, parts: int | None = None) -> None:
+    def save(self, path: str, parts: int | None = None, source: str = "") -> None:
+        """Write a new version; ``source`` says which state of the documents it is of."""
+        spark, folder = self.postings.sparkSession, uuid.uuid4().hex
+        at = f"{path}/{folder}"
         posted = self.postings.repartitionByRange(parts, "term") if parts else self.postings.repartitionByRange("term")
-        posted.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        posted.sortWithinPartitions("term", "doc_id").write.parquet(f"{at}/postings")
+        self.lengths.write.parquet(f"{at}/lengths")
+        lengths = spark.read.parquet(f"{at}/lengths")
+        corpus_stats(lengths).write.parquet(f"{at}/stats")
+        if self.vocab is not None:
+            self.vocab.repartitionByRange("word").sortWithinPartitions("word").write.parquet(f"{at}/vocab")
+            words = deletions(spark.read.parquet(f"{at}/vocab"))
+            words.repartitionByRange("key").sortWithinPartitions("key").write.parquet(f"{at}/deletions")
+        row = (MAGIC, VERSION, folder, self.analyzer, lengths.count(), source, time.time_ns())
+        spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").json(f"{path}/manifest")
 
     @staticmethod
-    def load(spark, path: str) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "stats")))
+    def load(spark: SparkSession, path: str, source: str | None = None) -> Index:
+        """The newest version; with ``source`` it must be of that state."""
+        try:
+            rows = spark.read.schema(MANIFEST).json(f"{path}/manifest").orderBy(F.desc("saved_at")).limit(1).collect()
+        except Exception as e:  # only a path that isn't there
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            rows = []
+        if not rows or (rows[0]["magic"], rows[0]["version"]) != (MAGIC, VERSION):
+            raise StaleIndex(f"no index of version {VERSION} at {path}")
+        if source is not None and rows[0]["source"] != source:
+            raise StaleIndex(f"the index at {path} is of {rows[0]['source']!r}, not of {source!r}")
+        read = lambda name: spark.read.parquet(f"{path}/{rows[0]['folder']}/{name}")
+        try:
+            vocab, found = read("vocab"), read("deletions")
+        except Exception as e:  # an index without a vocabulary
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            vocab = found = None
+        return Index(read("postings"), read("lengths"), read("stats"), vocab, found, rows[0]["analyzer"])
+
+
+def source_state(docs: DataFrame) -> str:
+    """What changes when a table of files does: the newest time, the number and the size of its files."""
+    files = docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    got = files.agg(F.max("file_modification_time").alias("t"), F.count("*").alias("n"), F.sum("file_size").alias("s")).first()
+    return f"{got['t']} {got['n']} {got['s']}"
 
 
 def dump(posted: DataFrame) -> DataFrame:

@@ -19,10 +19,30 @@ def top(scored: DataFrame, k: int, score: str = "score", key: str = "doc_id") ->
     return first.withColumn("rank", F.row_number().over(Window.orderBy(*order(score, key))))
 
 
+def ranked(scored: DataFrame, score: str = "score", key: str = "doc_id", ranges: int = 64) -> DataFrame:
+    """All rows with their rank, without one task for all: scores fall into ranges of equal width, and a rank is
+    the place in its range after the rows of better ranges, whose counts are few."""
+    bounds = scored.agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
+    own = F.floor((F.col("_hi") - F.round(score, 9)) * ranges / F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(1.0))
+    dealt = scored.join(F.broadcast(bounds)).withColumn("_r", F.coalesce(own, F.lit(ranges))).drop("_lo", "_hi")
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # over the ranges' counts
+    better = dealt.groupBy("_r").agg(F.count("*").alias("_n")).select("_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_better"))
+    place = F.row_number().over(Window.partitionBy("_r").orderBy(*order(score, key)))
+    return dealt.join(F.broadcast(better), "_r").withColumn("rank", (place + F.col("_better")).cast("int")).drop("_r", "_better")
+
+
+def head_and_rest(scored: DataFrame, k: int, score: str = "score", key: str = "doc_id") -> DataFrame:
+    """The first ``k`` with their rank, and the rest with a rank beyond: enough where only the head is ordered."""
+    head = top(scored, k, score, key)
+    rest = scored.join(F.broadcast(head.select(key)), key, "left_anti").withColumn("rank", F.lit(k + 1))
+    return head.unionByName(rest)
+
+
 def collapse(results: DataFrame, fingerprint: str = "fingerprint") -> DataFrame:
-    """Of rows with one fingerprint the best ranked."""
-    w = Window.partitionBy(fingerprint).orderBy(*order())
-    return results.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """Of rows with one fingerprint the best ranked: an aggregate, which is combined before the shuffle."""
+    whole = F.struct(*results.columns)
+    best = F.max_by(whole, F.struct(F.round("score", 9).alias("s"), (-F.col("doc_id")).alias("d")))
+    return results.groupBy(F.col(fingerprint).alias("_f")).agg(best.alias("_best")).select("_best.*")
 
 
 def page(results: DataFrame, number: int = 1, size: int = PAGE_SIZE) -> DataFrame:

@@ -58,18 +58,30 @@ def deletions(word: Column, most: int = EDIT_DISTANCE) -> Column:
     return out
 
 
-def candidates(words: DataFrame, vocab: DataFrame, most: int = EDIT_DISTANCE) -> DataFrame:
-    """``word, term, freq, dist`` of vocabulary terms within the distance: an equi-join on shared deletions, then the distance."""
+def left_over(word: str, most: int = EDIT_DISTANCE) -> set[str]:
+    """:func:`deletions` of one word."""
+    out = {word}
+    for _ in range(most):
+        out |= {w[:i] + w[i + 1 :] for w in out for i in range(len(w))}
+    return out
+
+
+def candidates(words: DataFrame, vocab: DataFrame, most: int = EDIT_DISTANCE, known: DataFrame | None = None) -> DataFrame:
+    """``word, term, freq, dist`` of vocabulary terms within the distance: an equi-join on shared deletions, then the distance.
+
+    ``known``: the vocabulary's deletions ``key, word, freq``, if they are kept."""
     left = words.select("word", F.explode(deletions(F.col("word"), most)).alias("key"))
-    right = vocab.select(F.col("word").alias("term"), "freq", F.explode(deletions(F.col("word"), most)).alias("key"))
+    if known is None:
+        known = vocab.select(F.explode(deletions(F.col("word"), most)).alias("key"), "word", "freq")
+    right = known.select("key", F.col("word").alias("term"), "freq")
     pairs = left.join(right, "key").select("word", "term", "freq").distinct()
     return pairs.withColumn("dist", osa_udf(most)("word", "term")).filter(F.col("dist") <= most)
 
 
-def best(words: DataFrame, vocab: DataFrame, most: int = EDIT_DISTANCE) -> DataFrame:
+def best(words: DataFrame, vocab: DataFrame, most: int = EDIT_DISTANCE, known: DataFrame | None = None) -> DataFrame:
     """``word, correction``: the word itself if known, else the closest, then most frequent term; null if none."""
     w = Window.partitionBy("word").orderBy("dist", F.desc("freq"), "term")
-    first = candidates(words, vocab, most).withColumn("_n", F.row_number().over(w)).filter("_n = 1")
+    first = candidates(words, vocab, most, known).withColumn("_n", F.row_number().over(w)).filter("_n = 1")
     return words.join(first.select("word", F.col("term").alias("correction")), "word", "left")
 
 
@@ -107,10 +119,16 @@ def rewrite(query: str, corrections: dict[str, str | None]) -> dict:
     return {"corrected_query": text, "suggestions": changed, "unknown_words": unknown}
 
 
-def correct(query: str, vocab: DataFrame) -> dict:
-    """Rewrite one query against a vocabulary: its few words are joined, and their corrections collected."""
+def correct(query: str, vocab: DataFrame, known: DataFrame | None = None) -> dict:
+    """Rewrite one query: its few words are looked up, and only those that are not found are compared with others."""
     words = sorted(set(words_of(query)))
     if not words:
         return rewrite(query, {})
-    rows = best(vocab.sparkSession.createDataFrame([(w,) for w in words], "word string"), vocab).collect()
-    return rewrite(query, {r["word"]: r["correction"] for r in rows})
+    found = {r["word"]: r["word"] for r in vocab.filter(F.col("word").isin(words)).select("word").collect()}
+    missing = [w for w in words if w not in found]
+    if missing:
+        if known is not None:  # sorted by key: only the row groups with theirs are read
+            known = known.filter(F.col("key").isin(sorted(set().union(*map(left_over, missing)))))
+        rows = best(vocab.sparkSession.createDataFrame([(w,) for w in missing], "word string"), vocab, known=known).collect()
+        found |= {r["word"]: r["correction"] for r in rows}
+    return rewrite(query, found)

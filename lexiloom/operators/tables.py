@@ -14,6 +14,12 @@ def latest(rows: DataFrame, key: str, order: list) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+def newest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The row of each key that is greatest by ``order``: an aggregate, which is combined before the shuffle."""
+    best = F.max_by(F.struct(*rows.columns), F.struct(*order))
+    return rows.groupBy(F.col(key).alias("_k")).agg(best.alias("_best")).select("_best.*")
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 

@@ -8,6 +8,7 @@ from lexiloom.config import PageRank
 from lexiloom.functions import analyzers, web
 from lexiloom.operators import graph, tables
 from lexiloom.session import ship_package
+from lexiloom.sources.corpus import resume_frontier
 
 from .registry import query, quoted, table
 
@@ -92,11 +93,10 @@ def supply_edges(spark, d):
     return pairs.select(s.alias("src"), p.alias("dst")).unionByName(back.select(p.alias("src"), s.alias("dst")))
 
 
-STEPS = 5
 SUPPLY = "pairs AS MATERIALIZED (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), e AS MATERIALIZED (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM pairs UNION ALL SELECT 'p' || l_partkey, 's' || l_suppkey FROM pairs WHERE l_partkey % 3 <> 0)"
 
 
-def pagerank_sql(steps: int = STEPS) -> str:
+def pagerank_sql(steps: int) -> str:
     """Power iteration written out, a CTE a step."""
     head = f"""WITH {SUPPLY}, v AS MATERIALIZED (SELECT src AS node FROM e UNION SELECT dst FROM e), c AS MATERIALIZED (SELECT count(*)::DOUBLE AS n FROM v), o AS MATERIALIZED (SELECT src, count(*) AS k FROM e GROUP BY src),
 r0 AS MATERIALIZED (SELECT node, 1.0 / n AS score FROM v, c)"""
@@ -106,21 +106,10 @@ FROM v CROSS JOIN c LEFT JOIN (SELECT dst, sum(score / k) AS s FROM e JOIN r{i}
     return head
 
 
-@query(f"{pagerank_sql()} SELECT node, round(score, 9) AS score FROM r{STEPS}")
+@query(f"{pagerank_sql(PageRank().iterations)} SELECT node, round(score, 9) AS score FROM r{PageRank().iterations}")
 def pagerank_fixed(spark, d):
-    out = graph.pagerank(supply_edges(spark, d), PageRank(iterations=STEPS), stop_early=False)
-    return out.select("node", F.round("score", 9).alias("score"))
-
-
-@query(f"{pagerank_sql()} SELECT node, round(score, 9) AS score FROM r{STEPS} ORDER BY round(score, 9) DESC, node LIMIT 10")
-def pagerank_top10(spark, d):
-    return pagerank_fixed(spark, d).orderBy(F.desc("score"), "node").limit(10)
-
-
-@query(f"{pagerank_sql()} SELECT abs(sum(score) - 1) < 1e-6 AS sums_to_one, count(*) AS n FROM r{STEPS}")
-def pagerank_sum(spark, d):
-    out = graph.pagerank(supply_edges(spark, d), PageRank(iterations=STEPS), stop_early=False)
-    return out.agg((F.abs(F.sum("score") - 1) < 1e-6).alias("sums_to_one"), F.count("*").alias("n"))
+    """All of the rounds, whether or not it has converged."""
+    return graph.pagerank(supply_edges(spark, d), stop_early=False).select("node", F.round("score", 9).alias("score"))
 
 
 def converged_sql() -> str:
@@ -139,12 +128,12 @@ def pagerank_converged(spark, d):
 
 
 @query(f"{converged_sql()} SELECT node, round(score, 9) AS score FROM done ORDER BY round(score, 9) DESC, node LIMIT 10")
-def pagerank_converged_top10(spark, d):
+def pagerank_top10(spark, d):
     return pagerank_converged(spark, d).orderBy(F.desc("score"), "node").limit(10)
 
 
 @query(f"{converged_sql()} SELECT abs(sum(score) - 1) < 1e-6 AS sums_to_one, count(*) AS n FROM done")
-def pagerank_converged_sum(spark, d):
+def pagerank_sum(spark, d):
     return graph.pagerank(supply_edges(spark, d)).agg((F.abs(F.sum("score") - 1) < 1e-6).alias("sums_to_one"), F.count("*").alias("n"))
 
 
@@ -159,9 +148,9 @@ def bfs_depth(spark, d):
 
 @query()
 def html_text(spark, d):
+    """Title, text and links of every page; the links are normalised, and those in chrome are left out."""
     ship_package(spark)
-    got = web.html_extract_udf("all")("html", "url")
-    return pages(spark, d).withColumn("x", got).select("page_id", "x.title", F.length("x.text").alias("n_text"), F.size("x.links").alias("n_links"))
+    return pages(spark, d).withColumn("x", web.html_extract_udf()("html", "url")).select("page_id", "x.title", "x.text", F.array_join("x.links", " ").alias("links"))
 
 
 @query()
@@ -173,9 +162,9 @@ def url_normalize_exact(spark, d):
 # Keyed tables
 
 
-@query("SELECT c_custkey, coalesce(n_name, '') AS nation, coalesce(o.n, 0) AS n_orders FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey < 3 LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON o_custkey = c_custkey")
+@query("SELECT c_custkey, coalesce(n_name, '') AS nation, coalesce(o.n, 0) AS n_orders FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON o_custkey = c_custkey")
 def left_join_defaults(spark, d):
-    nations = table(spark, d, "nation").filter("n_regionkey < 3").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     counts = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
     out = table(spark, d, "customer").select("c_custkey", "c_nationkey").join(nations, "c_nationkey", "left").join(counts, "c_custkey", "left")
     return out.select("c_custkey", F.coalesce("n_name", F.lit("")).alias("nation"), F.coalesce("n", F.lit(0)).alias("n_orders"))
@@ -190,7 +179,7 @@ def dup_hash_having(spark, d):
 @query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def upsert_latest(spark, d):
     own = table(spark, d, "events").select("user_id", "event_id", "event_type", "ts")
-    return tables.latest(own, "user_id", [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
+    return tables.newest(own, "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
 @query("SELECT c_custkey AS key, 'customer' AS kind FROM customer UNION ALL SELECT DISTINCT o_custkey + 100, 'order' FROM orders WHERE o_custkey + 100 NOT IN (SELECT c_custkey FROM customer)")
@@ -218,11 +207,17 @@ def blank_rejected(spark, d):
     return tables.accepted_pages(own).select("doc_id", F.lit(True).alias("accepted"))
 
 
-@query("SELECT event_type, CASE WHEN event_type IN ('click', 'view') THEN 'visited' ELSE 'failed' END AS status, count(*) AS n FROM events WHERE event_type IN ('click', 'view', 'error') GROUP BY 1")
+@query(
+    """WITH f AS (SELECT DISTINCT url, CASE page_id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'visited' ELSE 'failed' END AS status FROM pages WHERE page_id % 4 <> 0)
+SELECT url, 'pending' AS state FROM f WHERE status = 'pending' UNION ALL SELECT url, 'pending' FROM (SELECT DISTINCT url FROM pages) WHERE url NOT IN (SELECT url FROM f)
+UNION ALL SELECT url, 'seen' FROM f WHERE status <> 'pending'"""
+)
 def frontier_resume(spark, d):
-    own = table(spark, d, "events").filter(F.col("event_type").isin("click", "view", "error"))
-    status = F.when(F.col("event_type").isin("click", "view"), "visited").otherwise("failed")
-    return own.groupBy("event_type").agg(F.count("*").alias("n")).withColumn("status", status)
+    """A saved frontier of three quarters of the pages, taken up again with all pages as seeds."""
+    status = F.when(F.col("page_id") % 3 == 0, "pending").when(F.col("page_id") % 3 == 1, "visited").otherwise("failed")
+    frontier = pages(spark, d).filter("page_id % 4 <> 0").select("url", status.alias("status")).distinct()
+    pending, seen = resume_frontier(frontier, pages(spark, d).select("url", F.lit("pending").alias("status")).distinct())
+    return pending.select("url", F.lit("pending").alias("state")).unionByName(seen.select("url", F.lit("seen").alias("state")))
 
 
 # Logs
@@ -263,20 +258,24 @@ def click_valid(spark, d):
 
 
 @query(
-    """SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, min(event_id) AS first_id, max(event_id) AS last_id FROM events GROUP BY event_type"""
+    """WITH o AS (SELECT user_id, event_type, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS starts FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts) AS nth FROM o)
+SELECT user_id, epoch_us(min(ts)) AS first_us, count(*) AS n, count(*) FILTER (event_type = 'click') AS n_clicks FROM s GROUP BY user_id, nth"""
 )
 def session_stats(spark, d):
-    own = table(spark, d, "events").groupBy("event_type")
-    return own.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+    from lexiloom.streaming import streams
+
+    out = streams.session_stats(streams.with_event_time(table(spark, d, "events").select("user_id", "event_type", "ts")))
+    return out.select("user_id", F.unix_micros("session_window.start").alias("first_us"), "n", "n_clicks")
 
 
 @query(
-    """SELECT event_id, '{"level":"INFO","message":"click","data":{"event_id":' || event_id || ',"user_id":' || user_id || ',"event_type":"' || event_type || '"}}' AS value FROM events WHERE event_type = 'click'"""
+    """SELECT '{"level":"INFO","message":"click","data":{"event_id":' || event_id || ',"user_id":' || user_id || ',"event_type":"' || event_type || '"}}' AS value FROM events WHERE event_type = 'click'"""
 )
 def log_lines(spark, d):
-    own = table(spark, d, "events").filter("event_type = 'click'").select("event_id", "user_id", "event_type")
-    line = F.to_json(F.struct(F.lit("INFO").alias("level"), F.lit("click").alias("message"), F.struct("event_id", "user_id", "event_type").alias("data")))
-    return own.select("event_id", line.alias("value"))
+    from lexiloom.streaming import streams
+
+    return streams.log_lines(table(spark, d, "events").filter("event_type = 'click'").select("event_id", "user_id", "event_type"), "click")
 
 
 @query("SELECT count(*) AS n_pages, count(DISTINCT url) AS n_urls, max(length(html)) AS longest FROM pages")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from lexiloom.config import B_GRID, BM25, ENGINE_FUSION, K1_GRID, WEIGHT_GRID, S
 from lexiloom.functions import analyzers
 from lexiloom.operators import evaluation, index, parsing, results, retrieval, scoring, semantic, spell
 from lexiloom.operators.parsing import StructuredQuery
-from lexiloom.session import ship_package
+from lexiloom.session import ship_package, work_folder
 from lexiloom.sources.corpus import titled
 
 from .registry import BASIC, INDEX, LENS, POS, POST, TOK, bm25_sql, phrase_sql, query, quoted, table
@@ -171,6 +173,23 @@ def search_topk(spark, d):
     return results.top(scored(spark, d), 20, "bm25").select("rank", "doc_id", F.round("bm25", 6).alias("score"))
 
 
+@query(f"{SCORED} SELECT row_number() OVER (ORDER BY round(bm25, 9) DESC, doc_id) AS rank, doc_id, round(bm25, 6) AS score FROM scored QUALIFY rank <= 20")
+def saved_index_topk(spark, d):
+    """The same search on an index that was saved: only the row groups of its terms are read."""
+    path = f"{work_folder(spark)}/index-{uuid.uuid4().hex}"
+    index.Index.build(docs(spark, d)).save(path)
+    own = index.Index.load(spark, path)
+    p = own.postings.filter(F.col("term").isin(PROBES))
+    found = scoring.bm25(retrieval.any_of(p, PROBES), p, own.lengths, own.stats, PROBES)
+    return results.top(found, 20, "bm25").select("rank", "doc_id", F.round("bm25", 6).alias("score"))
+
+
+@query(f"{SCORED} SELECT doc_id, row_number() OVER (ORDER BY round(bm25, 9) DESC, doc_id) AS rank FROM scored")
+def search_all_ranks(spark, d):
+    """The rank of every hit."""
+    return results.ranked(scored(spark, d), "bm25").select("doc_id", "rank")
+
+
 FINGER = r"sha256(trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')))"
 
 
@@ -180,8 +199,8 @@ QUALIFY row_number() OVER (PARTITION BY f ORDER BY round(bm25, 9) DESC, doc_id)
 )
 def dedup_documents(spark, d):
     flat = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\s+", " "))
-    prints = docs(spark, d).select("doc_id", F.sha2(flat, 256).alias("fingerprint"))
-    own = scored(spark, d).withColumnRenamed("bm25", "score").join(prints, "doc_id")
+    own = scored(spark, d).withColumnRenamed("bm25", "score").join(docs(spark, d), "doc_id")  # hits first, then their fingerprints
+    own = own.withColumn("fingerprint", F.sha2(flat, 256)).drop("text")
     return results.collapse(own).select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -260,8 +279,7 @@ SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS posi
 UNION ALL SELECT doc_id, rank - 30 + np, round(bm25, 6), NULL, false FROM ranked CROSS JOIN b WHERE rank > 30"""
 )
 def hybrid_rerank(spark, d):
-    own = scored(spark, d).withColumnRenamed("bm25", "score")
-    ranked = own.withColumn("rank", F.row_number().over(Window.orderBy(*results.order())))
+    ranked = results.ranked(scored(spark, d).withColumnRenamed("bm25", "score"))
     out = semantic.rerank(ranked, sims(spark, d), Semantic())
     return out.select("doc_id", "position", F.round("score", 6).alias("score"), F.round("semantic_score", 6).alias("semantic_score"), "is_augmented")
 
@@ -277,21 +295,29 @@ def misspelt(spark):
     return spark.createDataFrame([(w,) for w in MISSPELT], "word string")
 
 
-#: The SQL side has unrestricted edit distance, which is 2, and not 3, where a swapped pair is edited again: both keep distance 1, where they agree.
-@query(f"{SPELL} SELECT word, term, freq, dist FROM c WHERE dist <= 1")
-def osa_candidates(spark, d):
-    ship_package(spark)
-    return spell.candidates(misspelt(spark), index.vocabulary(docs(spark, d))).filter("dist <= 1")
+#: Optimal string alignment, a row of the table at a time; unrestricted edit distance is never larger, and so has found the pairs.
+OSA = f"""{SPELL.replace("WITH", "WITH RECURSIVE", 1)},
+rows AS (
+  SELECT word, term, freq, 0 AS i, NULL::INT[] AS before, range(len(term) + 1)::INT[] AS last FROM c
+  UNION ALL
+  SELECT word, term, freq, i + 1, last, list_reduce(
+    list_transform(range(1, len(term) + 1), lambda j: [j::INT]),
+    lambda acc, x: list_append(acc, least(
+      acc[x[1]] + 1, last[x[1] + 1] + 1, last[x[1]] + CASE WHEN word[i + 1] = term[x[1]] THEN 0 ELSE 1 END,
+      CASE WHEN i > 0 AND x[1] > 1 AND word[i + 1] = term[x[1] - 1] AND word[i] = term[x[1]] THEN before[x[1] - 1] + 1 ELSE 1000 END)),
+    [i::INT + 1])
+  FROM rows WHERE i < len(word)),
+osa AS (SELECT word, term, freq, last[-1] AS dist FROM rows WHERE i = len(word) AND last[-1] <= 2)"""
 
 
-@query()
-def osa_candidates_all(spark, d):
-    """All candidates up to ``EDIT_DISTANCE``; no SQL, as DuckDB has no optimal string alignment."""
+@query(f"{OSA} SELECT word, term, freq, dist FROM osa")
+def osa_candidates(spark, d):
+    """All candidates up to ``EDIT_DISTANCE``."""
     ship_package(spark)
     return spell.candidates(misspelt(spark), index.vocabulary(docs(spark, d)))
 
 
-@query(f"{SPELL}, b AS (SELECT word, term FROM c QUALIFY row_number() OVER (PARTITION BY word ORDER BY dist, freq DESC, term) = 1) SELECT w.word, b.term AS correction FROM w LEFT JOIN b USING (word)")
+@query(f"{OSA}, b AS (SELECT word, term FROM osa QUALIFY row_number() OVER (PARTITION BY word ORDER BY dist, freq DESC, term) = 1) SELECT w.word, b.term AS correction FROM w LEFT JOIN b USING (word)")
 def spell_best(spark, d):
     ship_package(spark)
     return spell.best(misspelt(spark), index.vocabulary(docs(spark, d)))
@@ -310,11 +336,40 @@ def spell_rewrite(spark, d):
 
 @query()
 def parse_query_batch(spark, d):
+    """Every benchmark text as a query: by turns all words required, the text as a phrase, its last word excluded."""
     ship_package(spark)
-    rows = table(spark, d, "benchmark").select("item_id", F.concat_ws(" AND ", F.split("text", " ")).alias("query"))
+    text, kind = F.trim("text"), F.pmod("item_id", F.lit(3))
+    query = (
+        F.when(kind == 0, F.regexp_replace(text, r"\s+", " AND "))
+        .when(kind == 1, F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit(" ")), F.lit('"')))
+        .otherwise(F.regexp_replace(text, r"\s+(\S+)$", " NOT $1"))
+    )
+    rows = table(spark, d, "benchmark").select("item_id", query.alias("query"))
     return parsing.searchable(parsing.parse_table(rows)).select("item_id", "query", "parsed.*")
 
 
+#: Queries with what they are parsed to; the words have no other stem.
+PARSED = (
+    ("sky AND rat", "sky rat", "", "", "", ""),
+    ("sky rat", "", "sky rat", "", "", ""),
+    ("sky OR rat NOT dog", "", "sky rat", "dog", "", ""),
+    ("sky AND rat fox NOT dog bird OR hen", "sky rat fox", "hen", "dog bird", "", ""),
+    ('"red fox" sky NOT "blue bird"', "", "sky", "", "red fox", "blue bird"),
+    ('sky AND "red fox"', "sky", "", "", "red fox", ""),
+    ("NOT dog", "", "", "dog", "", ""),
+    ("the AND", "", "", "", "", ""),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({', '.join(repr(x) for x in row)})" for row in PARSED) + ") v(query, required, optional, excluded, phrases, excluded_phrases)")
+def parse_sample(spark, d):
+    ship_package(spark)
+    rows = spark.createDataFrame([(q,) for q, *_ in PARSED], "query string")
+    joined = [F.array_join(f"parsed.{c}", " ").alias(c) for c in ("required", "optional", "excluded")]
+    phrases = [F.array_join(F.flatten(f"parsed.{c}"), " ").alias(c) for c in ("phrases", "excluded_phrases")]
+    return parsing.parse_table(rows).select("query", *joined, *phrases)
+
+
 @query()
 def stemmed_search(spark, d):
     ship_package(spark)
@@ -421,20 +476,42 @@ def grid_k1_b(spark, d):
 
 
 @query(
+    f"WITH {INDEX}, {QTERMS}, {QS}, {eval_scored_sql('k1', 'b', f'CROSS JOIN {GRID}', ', k1, b')}, {metric_sql(', k1, b')}, "
+    f"g AS (SELECT k1, b, sum(coalesce(ndcg_at_k, 0.0)) / {len(EVAL)} AS m FROM em GROUP BY k1, b) SELECT k1, b, round(m, 6) AS mean_ndcg FROM g ORDER BY round(m, 6) DESC, k1, b LIMIT 1"
+)
+def grid_best(spark, d):
+    """The best setting of the grid; of equals the first in its order."""
+    return evaluation.grid_best(grid_k1_b(spark, d), ["k1", "b"], "mean_ndcg").select("k1", "b", F.col("mean").alias("mean_ndcg"))
+
+
+WEIGHTED = (
     f"{HYBRID}, g AS (SELECT unnest([{', '.join(map(str, WEIGHT_GRID))}])::DOUBLE AS weight), "
-    f"y AS (SELECT weight, doc_id, row_number() OVER (PARTITION BY weight ORDER BY round({blend_sql('weight')}, 9) DESC, doc_id) AS rank FROM n CROSS JOIN g) "
-    "SELECT weight, count(l.doc_id) AS relevant_in_10 FROM y LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) l USING (doc_id) WHERE rank <= 10 GROUP BY weight"
+    f"y AS (SELECT weight, doc_id, row_number() OVER (PARTITION BY weight ORDER BY round({blend_sql('weight')}, 9) DESC, doc_id) AS rank FROM n CROSS JOIN g), "
+    "rel AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), ideal AS (SELECT sum(1 / log2(i + 1)) AS best FROM range(1, (SELECT least(count(*), 10) + 1 FROM rel)) t(i)), "
+    "w AS (SELECT weight, count(rel.doc_id) AS relevant_in_10, round(sum(CASE WHEN rel.doc_id IS NOT NULL THEN 1 / log2(rank + 1) ELSE 0.0 END) / (SELECT best FROM ideal), 6) AS ndcg "
+    "FROM y LEFT JOIN rel USING (doc_id) WHERE rank <= 10 GROUP BY weight)"
 )
+
+
+@query(f"{WEIGHTED} SELECT * FROM w")
 def grid_semantic_weight(spark, d):
-    own = scored(spark, d).withColumnRenamed("bm25", "score")
-    ranked = own.withColumn("rank", F.row_number().over(Window.orderBy(*results.order())))
-    first = semantic.rerank(ranked, sims(spark, d), Semantic(weight=0.0))  # the base score alone; the similarity is beside it
+    """nDCG in the first ten for each weight of the similarity."""
+    first = semantic.rerank(results.head_and_rest(scored(spark, d).withColumnRenamed("bm25", "score"), Semantic().top_k), sims(spark, d), Semantic(weight=0.0))  # the base score alone; the similarity is beside it
     pool = first.filter("semantic_score IS NOT NULL").join(F.broadcast(spark.createDataFrame([(w,) for w in WEIGHT_GRID], "weight double")))
     blended = F.when(F.col("is_augmented"), F.col("semantic_score")).otherwise((1 - F.col("weight")) * F.col("score") + F.col("weight") * F.col("semantic_score"))
     w = Window.partitionBy("weight").orderBy(F.desc(F.round(blended, 9)), "doc_id")
     top = pool.withColumn("rank", F.row_number().over(w)).filter("rank <= 10")
-    good = table(spark, d, "labels").filter("quality = 1").select("doc_id").distinct().withColumn("rel", F.lit(1))
-    return top.join(good, "doc_id", "left").groupBy("weight").agg(F.count("rel").alias("relevant_in_10"))
+    good = table(spark, d, "labels").filter("quality = 1").select("doc_id").distinct()
+    ideal = F.broadcast(good.agg(F.least(F.count("*"), F.lit(10)).cast("int").alias("m")))
+    best = F.aggregate(F.sequence(F.lit(1), F.col("m")), F.lit(0.0), lambda acc, i: acc + 1.0 / F.log2(i + 1.0))
+    gain = F.sum(F.when(F.col("rel") == 1, 1 / F.log2(F.col("rank") + 1.0)).otherwise(0.0))
+    found = top.join(good.withColumn("rel", F.lit(1)), "doc_id", "left").groupBy("weight").agg(F.count("rel").alias("relevant_in_10"), gain.alias("dcg"))
+    return found.join(ideal).select("weight", "relevant_in_10", F.round(F.col("dcg") / best, 6).alias("ndcg"))
+
+
+@query(f"{WEIGHTED} SELECT weight, ndcg FROM w ORDER BY ndcg DESC, weight LIMIT 1")
+def semantic_weight_best(spark, d):
+    return evaluation.grid_best(grid_semantic_weight(spark, d), ["weight"], "ndcg").select("weight", F.col("mean").alias("ndcg"))
 
 
 EXAMPLES = f"""WITH {INDEX}, {QTERMS}, {eval_scored_sql()}, {RANKS}, {pr_norm('1.0')},

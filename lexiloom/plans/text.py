@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexiloom.config import QUERY_ERRORS
 from lexiloom.functions import analyzers, codec
 from lexiloom.operators import index
 from lexiloom.session import ship_package
@@ -28,13 +29,8 @@ def tokenize_counts(spark, d):
     return docs(spark, d).select("doc_id", F.size(basic).cast("long").alias("n_basic"), F.size(kept).cast("long").alias("n_not_engine_stop"))
 
 
-@query(f"WITH {TOK} SELECT doc_id, array_to_string(toks[1:20], ' ') AS first_tokens FROM tok")
-def stopword_filter(spark, d):
-    return plain(spark, d).select("doc_id", F.array_join(F.slice("tokens", 1, 20), " ").alias("first_tokens"))
-
-
 @query(f"WITH {TOK} SELECT doc_id, len(toks) AS n, array_to_string(toks, ' ') AS tokens FROM tok")
-def stopword_filter_all(spark, d):
+def stopword_filter(spark, d):
     """All kept tokens of each document."""
     return plain(spark, d).select("doc_id", F.size("tokens").cast("long").alias("n"), F.array_join("tokens", " ").alias("tokens"))
 
@@ -56,8 +52,7 @@ def vocab_frequency(spark, d):
 
 @query(f"WITH {POST} SELECT term, count(*) AS df FROM post GROUP BY term")
 def term_df(spark, d):
-    # Terms of a document are made distinct before they are counted: no positions are shuffled.
-    return plain(spark, d).select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return index.document_frequency(index.postings(plain(spark, d)))
 
 
 @query(f"WITH {POST} SELECT term, doc_id, tf, array_to_string(positions, ',') AS positions FROM post")
@@ -65,46 +60,30 @@ def postings_tf_positions(spark, d):
     return index.postings(plain(spark, d)).select("term", "doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 
 
-@query(
-    f"""WITH {POST}, g AS (SELECT term, doc_id, unnest(positions) AS p, unnest(range(len(positions))) AS i FROM post WHERE term LIKE 'th%')
-SELECT term, doc_id, string_agg(p - before, ',' ORDER BY i) AS gaps FROM (SELECT *, coalesce(lag(p) OVER (PARTITION BY term, doc_id ORDER BY i), 0) AS before FROM g) GROUP BY ALL"""
-)
-def gap_encode(spark, d):
-    own = index.postings(plain(spark, d).select("doc_id", F.col("tokens"))).filter(F.col("term").startswith("th"))
-    return own.select("term", "doc_id", F.array_join(codec.gaps(F.col("positions")).cast("array<string>"), ",").alias("gaps"))
-
-
-@query(f"WITH {POST} SELECT term, doc_id, array_to_string(positions, ',') AS positions FROM post WHERE term LIKE 'an%'")
-def gap_decode(spark, d):
-    own = index.postings(plain(spark, d)).filter(F.col("term").startswith("an"))
-    decoded = codec.from_gaps(codec.gaps(F.col("positions")))
-    return own.select("term", "doc_id", F.array_join(decoded.cast("array<string>"), ",").alias("positions"))
-
-
 @query(
     f"""WITH {POST}, g AS (SELECT term, doc_id, unnest(positions) AS p, unnest(range(len(positions))) AS i FROM post)
 SELECT term, doc_id, string_agg(p - before, ',' ORDER BY i) AS gaps FROM (SELECT *, coalesce(lag(p) OVER (PARTITION BY term, doc_id ORDER BY i), 0) AS before FROM g) GROUP BY ALL"""
 )
-def gap_encode_all(spark, d):
+def gap_encode(spark, d):
     """Gaps of every posting."""
     own = index.postings(plain(spark, d))
     return own.select("term", "doc_id", F.array_join(codec.gaps(F.col("positions")).cast("array<string>"), ",").alias("gaps"))
 
 
 @query(f"WITH {POST} SELECT term, doc_id, array_to_string(positions, ',') AS positions FROM post")
-def gap_decode_all(spark, d):
+def gap_decode(spark, d):
     """Every posting, encoded and decoded again."""
     decoded = codec.from_gaps(codec.gaps(F.col("positions")))
     return index.postings(plain(spark, d)).select("term", "doc_id", F.array_join(decoded.cast("array<string>"), ",").alias("positions"))
 
 
 @query(
-    r"""SELECT doc_id, sha256(trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g'))) AS fingerprint, sha256(coalesce(text, '')) AS content_hash,
-length(coalesce(text, '')) AS n FROM documents"""
+    r"""SELECT doc_id, sha256(trim(regexp_replace(lower(' ' || coalesce(text, '')), '[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))) AS fingerprint,
+sha256(coalesce(text, '')) AS content_hash, length(coalesce(text, '')) AS n FROM documents"""
 )
 def fingerprint_sha(spark, d):
     text = F.coalesce("text", F.lit(""))
-    flat = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    flat = analyzers.fingerprint(F.lit(None).cast("string"), F.col("text"))
     return docs(spark, d).select("doc_id", F.sha2(flat, 256).alias("fingerprint"), F.sha2(text, 256).alias("content_hash"), F.length(text).alias("n"))
 
 
@@ -121,31 +100,25 @@ def index_scale(spark, d):
     return sizes.join(F.broadcast(words))
 
 
-@query(
-    f"""WITH {POST} SELECT term, term || ' -> [' || string_agg(format('Doc {{}}, TF={{}}, Pos=({{}})', doc_id, tf, array_to_string(positions, ',')), '; ' ORDER BY doc_id) || ']' AS line
-FROM post WHERE term IN ('ther', 'erin', 'thon') GROUP BY term"""
-)
-def index_dump(spark, d):
-    return index.dump(index.postings(plain(spark, d), PROBES))
-
-
 @query(
     f"""WITH {POST} SELECT term, term || ' -> [' || string_agg(format('Doc {{}}, TF={{}}, Pos=({{}})', doc_id, tf, array_to_string(positions, ',')), '; ' ORDER BY doc_id) || ']' AS line
 FROM post GROUP BY term"""
 )
-def index_dump_all(spark, d):
+def index_dump(spark, d):
     """The line of every term."""
     return index.dump(index.postings(plain(spark, d)))
 
 
 @query(
-    """SELECT doc_id, CASE WHEN q IS NULL THEN 'Query is required.' WHEN regexp_matches(q, '[\\x00-\\x1f]') THEN 'Query contains control characters.' WHEN trim(q) = '' THEN 'Query cannot be empty.'
-WHEN length(q) > 200 THEN 'Query is too long.' WHEN NOT regexp_matches(q, '[\\p{L}\\p{N}]') THEN 'Query must contain letters or digits.' END AS problem
-FROM (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN '?!' WHEN 3 THEN text[1:190] ELSE text END AS q FROM documents)"""
+    f"""SELECT doc_id, CASE WHEN q IS NULL THEN '{QUERY_ERRORS["missing"]}' WHEN regexp_matches(q, '[\\x00-\\x1f]') THEN '{QUERY_ERRORS["control"]}' WHEN trim(q) = '' THEN '{QUERY_ERRORS["empty"]}'
+WHEN length(q) > 200 THEN '{QUERY_ERRORS["long"]}' WHEN NOT regexp_matches(q, '[\\p{{L}}\\p{{N}}]') THEN '{QUERY_ERRORS["no_word"]}' END AS problem
+FROM (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN '?!' WHEN 3 THEN 'doc ' || doc_id ELSE text END AS q FROM documents)"""
 )
 def query_validation(spark, d):
+    """Every text as a query, some in the place of others that are null, blank, without words or right."""
     m = F.col("doc_id") % 6
-    q = F.when(m == 0, F.lit(None)).when(m == 1, "  ").when(m == 2, "?!").when(m == 3, F.substring("text", 1, 190)).otherwise(F.col("text"))
+    good = F.concat(F.lit("doc "), F.col("doc_id").cast("string"))
+    q = F.when(m == 0, F.lit(None)).when(m == 1, "  ").when(m == 2, "?!").when(m == 3, good).otherwise(F.col("text"))
     return docs(spark, d).select("doc_id", analyzers.query_error(q).alias("problem"))
 
 
@@ -164,5 +137,20 @@ def engine_tokens(spark, d):
 @query()
 def stemmed_vocabulary(spark, d):
     ship_package(spark)
-    words = index.vocabulary(docs(spark, d)).filter(~F.col("word").isin(analyzers.STOP_WORDS))
+    words = index.vocabulary(docs(spark, d)).filter(~F.col("word").isin(*analyzers.STOP_WORDS))
     return words.withColumn("stem", analyzers.stem_udf("word"))
+
+
+#: Words with their stems, fixed values of the published algorithm's sample.
+STEMS = (
+    ("caresses", "caress"), ("ponies", "poni"), ("cats", "cat"), ("agreed", "agre"), ("plastered", "plaster"), ("motoring", "motor"), ("sized", "size"), ("hopping", "hop"),
+    ("happy", "happi"), ("relational", "relat"), ("conditional", "condit"), ("digitizer", "digit"), ("operator", "oper"), ("formality", "formal"), ("hopefulness", "hope"),
+    ("triplicate", "triplic"), ("electrical", "electr"), ("revival", "reviv"), ("allowance", "allow"), ("adjustment", "adjust"), ("effective", "effect"), ("rate", "rate"),
+    ("controll", "control"), ("roll", "roll"), ("running", "run"), ("sky", "sky"),
+)
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(f"('{w}', '{t}')" for w, t in STEMS)}) v(word, stem)")
+def stem_sample(spark, d):
+    ship_package(spark)
+    return spark.createDataFrame([(w,) for w, _ in STEMS], "word string").withColumn("stem", analyzers.stem_udf("word"))

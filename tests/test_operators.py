@@ -67,6 +67,14 @@ def test_index_tables(spark, tmp_path):
     own.save(str(tmp_path / "index"))
     again = index.Index.load(spark, str(tmp_path / "index"))
     assert again.postings.count() == 2 and "PushedFilters: [In(term" in again.postings.filter(F.col("term").isin("alpha", "zeta"))._jdf.queryExecution().toString().replace("IsNotNull(term), ", "")
+    words = {(r.key, r.word) for r in again.deletions.collect()}
+    assert ("bta", "beta") in words and ("alpha", "alpha") in words and {r.word: r.freq for r in again.vocab.collect()} == {"alpha": 2, "beta": 1, "the": 1}
+    assert again.stats.first().asDict() == {"n_docs": 3, "avgdl": 1.0}
+    own.save(str(tmp_path / "index"), source="two")  # a new version is read from then on
+    assert index.Index.load(spark, str(tmp_path / "index"), "two").postings.count() == 2
+    for path, source in ((tmp_path / "index", "one"), (tmp_path / "none", None)):
+        with pytest.raises(index.StaleIndex):
+            index.Index.load(spark, str(path), source)
     assert index.corpus_stats(own.lengths.filter("false")).first().avgdl == 0.0
     assert index.dump(own.postings).filter("term = 'alpha'").first().line == "alpha -> [Doc 1, TF=2, Pos=(0,2)]"
     ranks = spark.createDataFrame([("u1", 0.5)], "url string, score double")
@@ -144,3 +152,18 @@ def test_tables(spark):
     assert {r.seq: r.slot for r in tables.politeness_slots(asked, "host", "at", ["seq"]).collect()} == {0: 0.0, 1: 1.0, 2: 5.0, 3: 0.0}
     sized = spark.createDataFrame([(i, 10) for i in range(100)], "k long, n long")
     assert tables.within_budget(sized, "k", "n", 1000, 95).count() == 10 and tables.within_budget(sized, "k", "n", 7, 10**9).count() == 7
+
+
+def test_ranks_without_one_task(spark):
+    rows = [(i, [0.25, 1.0, 1.0 - 1e-12, None, -3.0][i % 5]) for i in range(60)]
+    got = {r.doc_id: r["rank"] for r in results.ranked(spark.createDataFrame(rows, "doc_id long, score double")).collect()}
+    order = sorted(rows, key=lambda r: (r[1] is None, -round(r[1] or 0.0, 9), r[0]))
+    assert got == {i: n + 1 for n, (i, _) in enumerate(order)}
+    same = spark.createDataFrame([(i, 1.0) for i in range(5)], "doc_id long, score double")
+    assert [r["rank"] for r in results.ranked(same).orderBy("doc_id").collect()] == [1, 2, 3, 4, 5] and results.ranked(same.filter("false")).count() == 0
+
+
+def test_breadth_first_ends_by_itself(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (5, 6)], "src long, dst long")
+    got = graph.bfs(edges, spark.createDataFrame([(1,)], "node long")).collect()
+    assert {r.node: r.depth for r in got} == {1: 0, 2: 1, 3: 2}

@@ -109,3 +109,18 @@ def test_engine(spark):
     assert hybrid[3].bm25_norm is None and hybrid[3].semantic_score == 1.0
     assert e.search("python", page=9).results.count() == 0 and e.search("python", page_size=99).status == "invalid"
     assert [r.word for r in e.suggest("py").collect()] == ["python"] and e.stats().first().corpus_size == 4
+    assert "<mark>salt" not in e.search("pepper NOT kubernetes").results.first().snippet and "<mark>pepper</mark>" in e.search("pepper NOT kubernetes").results.first().snippet
+
+
+def test_engine_on_a_saved_index(spark, tmp_path):
+    frame = spark.createDataFrame([(i, "Salt", f"salt and pepper number{i}", f"https://x.org/{i}") for i in range(30)], "doc_id long, title string, content string, url string")
+    ranks = spark.createDataFrame([(1, 0.2)], "doc_id long, pagerank double")
+    path = str(tmp_path / "index")
+    first = SearchEngine.open(frame, ranks, path, source="a")
+    again = SearchEngine.open(frame.filter("false").unionByName(frame), ranks, path, source="a")
+    assert first.index.postings.inputFiles() == again.index.postings.inputFiles() and first.index.deletions is not None
+    for page in (1, 2, 3):
+        rows = [(r["rank"], r.doc_id) for r in again.search("salt pepper", page).results.collect()]
+        assert len(rows) == 10 and [r for r, _ in rows] == list(range(10 * page - 9, 10 * page + 1))
+    assert again.search("slat").did_you_mean == "salt" and again.search("salt", 2).total_pages == 3
+    assert SearchEngine.open(frame, ranks, path, source="b").index.postings.inputFiles() != first.index.postings.inputFiles()
