@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.session import work_folder
 
-from .common import new_path, table
+from .common import new_path, partitions, table
 from .induced import CAP, CHUNK, Scratch, Tape, descending, padded
 from .textstats import BLOCK, hash_spans, mix
 
@@ -302,7 +302,8 @@ def find_spans(spark: SparkSession, folder: str, paths: list[str]) -> DataFrame:
     shared = spark.sparkContext.broadcast(paths)
     where, name = fs.FileSystem.from_uri(folder)
     compressed = sum(f.size or 0 for f in where.get_file_info(fs.FileSelector(name)))
-    buckets = max(4, int(compressed * 2.5 / 35 / BUCKET_ANCHORS))
+    tasks = partitions(spark)
+    buckets = max(tasks, int(compressed * 2.5 / 35 / BUCKET_ANCHORS))
     where, name = fs.FileSystem.from_uri(work_folder(spark))
     scratch = name if isinstance(where, fs.LocalFileSystem) else None  # elsewhere files cannot be mapped
     hot = spark.sparkContext.broadcast(hot_grams(spark.read.parquet(folder)))  # 2**HOT_BITS bytes
@@ -332,7 +333,9 @@ def find_spans(spark: SparkSession, folder: str, paths: list[str]) -> DataFrame:
         rows += _rows(WANTED, a["file"].astype(np.int64), a, ANCHOR, a["more"].astype(np.int64) + LEAST)
         return pa.Table.from_pylist(rows, _SCHEMA)
 
-    found = spark.range(0, len(paths), 1, len(paths)).mapInArrow(collect, ROW).groupBy("kind", "target").applyInArrow(compare, ROW)
+    # As many tasks as there is work for, not as few as these packed bytes ask for.
+    found = spark.range(0, len(paths), 1, len(paths)).mapInArrow(collect, ROW).repartition(max(tasks, min(buckets, 4 * tasks)), "kind", "target")
+    found = found.groupBy("kind", "target").applyInArrow(compare, ROW)
     path = new_path(spark, "repeats")
     found.write.parquet(path)
     found = spark.read.schema(ROW).parquet(path)
@@ -368,8 +371,9 @@ def find_spans(spark: SparkSession, folder: str, paths: list[str]) -> DataFrame:
             yield from _batches(rows)
         own.close()
 
-    # The payloads are small beside the files that a task reads for them: as many tasks as files, not as bytes ask for.
-    sorted_out = wanted.repartition(len(paths), "target").groupBy("target").applyInArrow(fetch, ROW).groupBy("target").applyInArrow(sort, ROW)
+    # The payloads are small beside the files that a task reads for them: as many tasks as files.
+    fetched = wanted.repartition(len(paths), "target").groupBy("target").applyInArrow(fetch, ROW)
+    sorted_out = fetched.repartition(max(tasks, min(shards, 4 * tasks)), "target").groupBy("target").applyInArrow(sort, ROW)
     return found.filter(F.col("kind") == SPANS).unionByName(sorted_out).select("target", "payload")
 
 
