@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from lexiloom.config import CACHE_SIZE, MAX_PAGE_SIZE, MAX_QUERY_LENGTH, PAGE_SIZE, QUERY_ERRORS, SERVER_FUSION, Semantic
 from lexiloom.functions import analyzers
 from lexiloom.functions.stemmer import stem
-from lexiloom.operators import results, retrieval, scoring, semantic, spell
-from lexiloom.operators.index import Index, StaleIndex, vocabulary
+from lexiloom.operators import results, retrieval, scoring, semantic, spell, versions
+from lexiloom.operators.index import Index, vocabulary
 from lexiloom.operators.parsing import parse
 
 
@@ -49,7 +49,7 @@ class SearchEngine:
         """An engine on the index saved at ``path``, which is made and saved first where it is missing or stale."""
         try:
             index = Index.load(docs.sparkSession, path, source)
-        except StaleIndex:
+        except versions.Stale:
             text = docs.withColumn("text", analyzers.whole_text(F.col("title"), F.col("content")))
             Index.build(text, "query").save(path, source=source or "")
             index = Index.load(docs.sparkSession, path, source)

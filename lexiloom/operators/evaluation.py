@@ -86,3 +86,27 @@ def bias_check(ranks: DataFrame, judged: DataFrame, limit: float = BIAS_RATIO) -
 
 def first_rank(ranked: DataFrame) -> DataFrame:
     return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")))
+
+
+def judged_by_title(docs: DataFrame, rules: DataFrame) -> DataFrame:
+    """``query_id, doc_id`` where the title holds a rule's words, whatever the case; ``rules`` (``query_id, part``) are written by hand."""
+    holds = F.contains(F.lower(F.col("title")), F.lower(F.col("part")))
+    return docs.select("doc_id", "title").join(F.broadcast(rules), holds).select("query_id", "doc_id").distinct()
+
+
+def judged_by_category(docs: DataFrame, rules: DataFrame, category: str) -> DataFrame:
+    """``query_id, doc_id`` where the category is a rule's; ``rules``: ``query_id, category``."""
+    own = docs.select("doc_id", F.col(category).alias("category"))
+    return own.join(F.broadcast(rules), "category").select("query_id", "doc_id").distinct()
+
+
+def report(per_query: DataFrame, kind: str = "qtype") -> DataFrame:
+    """One row ``value``: the evaluation as a JSON object, its summary by kind and the queries, in a fixed order."""
+    means = summary(per_query, kind).select(F.struct(kind, "n", "p_at_k", "mrr", "ndcg_at_k").alias("s")).agg(F.sort_array(F.collect_list("s")).alias("summary"))
+    each = per_query.select(F.struct("query_id", kind, "p_at_k", "mrr", "ndcg_at_k").alias("q")).agg(F.sort_array(F.collect_list("q")).alias("queries"))
+    return means.join(F.broadcast(each)).select(F.to_json(F.struct("summary", "queries")).alias("value"))
+
+
+def write_report(reported: DataFrame, path: str) -> None:
+    """The report as a text file of one line, in a folder of Spark's."""
+    reported.select("value").coalesce(1).write.mode("overwrite").text(path)

@@ -74,6 +74,14 @@ def pagerank(edges: DataFrame, params: PageRank = PageRank(), stop_early: bool =
     return ranks.select("node", "score")
 
 
+def document_pagerank(links: DataFrame, docs: DataFrame, iterations: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """``doc_id, pagerank`` over links between documents, those without any included; the tolerance is for each node."""
+    known = docs.select(F.col("doc_id").alias("node")).distinct()
+    own = links.join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst").distinct()
+    params = PageRank(iterations=iterations, tolerance=tolerance * max(1, known.count()))
+    return pagerank(own, params, all_nodes=known).select(F.col("node").alias("doc_id"), F.col("score").alias("pagerank"))
+
+
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``node, depth``: the least number of links from a seed, up to ``max_depth`` or until no node is new."""
     seen = seeds.select("node", F.lit(0).alias("depth")).distinct()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,13 +15,10 @@ from lexiloom.functions import analyzers
 from lexiloom.functions.stemmer import stem
 from lexiloom.session import ship_package
 
+from . import versions
+
 #: What a saved index says it is; another magic or version is not read.
 MAGIC, VERSION = "lexiloom-index", 2
-MANIFEST = "magic string, version int, folder string, analyzer string, n_docs long, source string, saved_at long"
-
-
-class StaleIndex(ValueError):
-    """No saved index, one of another kind or version, or of another state of its source."""
 
 
 def tokens(docs: DataFrame, analyzer: str = "plain", text: str = "text") -> DataFrame:
@@ -150,37 +146,20 @@ class Index:
             self.vocab.repartitionByRange("word").sortWithinPartitions("word").write.parquet(f"{at}/vocab")
             words = deletions(spark.read.parquet(f"{at}/vocab"))
             words.repartitionByRange("key").sortWithinPartitions("key").write.parquet(f"{at}/deletions")
-        row = (MAGIC, VERSION, folder, self.analyzer, lengths.count(), source, time.time_ns())
-        spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").json(f"{path}/manifest")
+        versions.publish(spark, path, MAGIC, VERSION, folder, self.analyzer, lengths.count(), source)
 
     @staticmethod
     def load(spark: SparkSession, path: str, source: str | None = None) -> Index:
         """The newest version; with ``source`` it must be of that state."""
-        try:
-            rows = spark.read.schema(MANIFEST).json(f"{path}/manifest").orderBy(F.desc("saved_at")).limit(1).collect()
-        except Exception as e:  # only a path that isn't there
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            rows = []
-        if not rows or (rows[0]["magic"], rows[0]["version"]) != (MAGIC, VERSION):
-            raise StaleIndex(f"no index of version {VERSION} at {path}")
-        if source is not None and rows[0]["source"] != source:
-            raise StaleIndex(f"the index at {path} is of {rows[0]['source']!r}, not of {source!r}")
-        read = lambda name: spark.read.parquet(f"{path}/{rows[0]['folder']}/{name}")
+        own = versions.newest(spark, path, MAGIC, VERSION, source)
+        read = lambda name: spark.read.parquet(f"{path}/{own['folder']}/{name}")
         try:
             vocab, found = read("vocab"), read("deletions")
         except Exception as e:  # an index without a vocabulary
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             vocab = found = None
-        return Index(read("postings"), read("lengths"), read("stats"), vocab, found, rows[0]["analyzer"])
-
-
-def source_state(docs: DataFrame) -> str:
-    """What changes when a table of files does: the newest time, the number and the size of its files."""
-    files = docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    got = files.agg(F.max("file_modification_time").alias("t"), F.count("*").alias("n"), F.sum("file_size").alias("s")).first()
-    return f"{got['t']} {got['n']} {got['s']}"
+        return Index(read("postings"), read("lengths"), read("stats"), vocab, found, own["details"])
 
 
 def dump(posted: DataFrame) -> DataFrame:

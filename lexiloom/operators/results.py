@@ -52,6 +52,12 @@ def page(results: DataFrame, number: int = 1, size: int = PAGE_SIZE) -> DataFram
     return top(results, number * size).filter(F.col("rank") > (number - 1) * size)
 
 
+def signals(ranked: DataFrame, columns: list[str]) -> DataFrame:
+    """Beside each score its bar, a whole percentage between 0 and 100; no bar where the score is null."""
+    bar = lambda c: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c))) * 100).cast("int")
+    return ranked.select("*", *(F.when(F.col(c).isNotNull(), bar(c)).alias(f"{c}_percent") for c in columns))
+
+
 def total_pages(results: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
     return results.agg(F.count("*").alias("total_results")).withColumn("total_pages", F.ceil(F.col("total_results") / size).cast("long"))
 

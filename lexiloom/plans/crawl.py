@@ -159,6 +159,22 @@ def url_normalize_exact(spark, d):
     return pages(spark, d).select("page_id", web.normalize_url_udf("url").alias("normalized"))
 
 
+@query()
+def pagerank_documents(spark, d):
+    """Over links between documents, those without any included; up to a hundred rounds."""
+    own = table(spark, d, "documents").select("doc_id")
+    links = own.select(F.col("doc_id").alias("src"), F.floor(F.col("doc_id") / 3).alias("dst")).filter("src % 2 = 0")
+    return graph.document_pagerank(links, own).select("doc_id", F.round("pagerank", 9).alias("pagerank"))
+
+
+@query()
+def links_normalized(spark, d):
+    """Links of every page as a crawl takes them: absolute, normalised, without those in chrome, on pages alone."""
+    ship_package(spark)
+    got = pages(spark, d).select("url", F.explode(web.html_extract_udf()("html", "url")["links"]).alias("dst"))
+    return got.select(F.col("url").alias("src"), "dst").distinct()
+
+
 # Keyed tables
 
 

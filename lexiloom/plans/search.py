@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.config import B_GRID, BM25, ENGINE_FUSION, K1_GRID, WEIGHT_GRID, Semantic
 from lexiloom.functions import analyzers
-from lexiloom.operators import evaluation, index, parsing, results, retrieval, scoring, semantic, spell
+from lexiloom.operators import batch, embeddings, evaluation, index, parsing, results, retrieval, scoring, semantic, spell, versions
 from lexiloom.operators.parsing import StructuredQuery
 from lexiloom.session import ship_package, work_folder
 from lexiloom.sources.corpus import titled
@@ -454,6 +454,85 @@ def eval_summary(spark, d):
     return out.select("qtype", "n", *(F.round(c, 6).alias(c) for c in ("p_at_k", "mrr", "ndcg_at_k")))
 
 
+#: Judgments as rules written by hand: parts of titles, and categories.
+TITLE_RULES, SOURCE_RULES = [("q1", "ther"), ("q2", "THON"), ("q3", "anea")], [("q1", "src1"), ("q2", "src2")]
+
+
+@query("SELECT DISTINCT query_id, doc_id FROM documents JOIN (VALUES " + ", ".join(f"('{q}', '{p}')" for q, p in TITLE_RULES) + ") r(query_id, part) ON contains(lower(split_part(text, chr(10), 1)[1:500]), lower(part))")
+def judgments_by_title(spark, d):
+    return evaluation.judged_by_title(titled(table(spark, d, "documents")), spark.createDataFrame(TITLE_RULES, "query_id string, part string"))
+
+
+@query("SELECT DISTINCT query_id, doc_id FROM documents JOIN (VALUES " + ", ".join(f"('{q}', '{p}')" for q, p in SOURCE_RULES) + ") r(query_id, source) USING (source)")
+def judgments_by_category(spark, d):
+    return evaluation.judged_by_category(table(spark, d, "documents"), spark.createDataFrame(SOURCE_RULES, "query_id string, category string"), "source")
+
+
+#: Queries as they are typed, one of them misspelt, through the whole pipeline.
+TYPED = [("q1", "ther erin"), ("q2", "ther AND anea NOT erin"), ("q3", '"anea eriner"'), ("q4", "tehr"), ("q5", "?!")]
+PIPELINE = f"""{OSA}, {INDEX}, {RANKS}, {pr_norm('1.0')},
+fix AS (SELECT arg_min(term, (dist, -freq, term)) AS word FROM osa WHERE word = 'tehr'),
+has AS (SELECT DISTINCT doc_id, term FROM post),
+cand AS (
+  SELECT DISTINCT 'q1' AS query_id, doc_id FROM has WHERE term IN ('ther', 'erin')
+  UNION ALL (SELECT 'q2', doc_id FROM (SELECT doc_id FROM has WHERE term = 'ther' INTERSECT SELECT doc_id FROM has WHERE term = 'anea' EXCEPT SELECT doc_id FROM has WHERE term = 'erin'))
+  UNION ALL (SELECT 'q3', doc_id FROM ({phrase_sql(PHRASE)}))
+  UNION ALL (SELECT 'q4', doc_id FROM has JOIN fix ON term = word)),
+qterm AS (SELECT * FROM (VALUES ('q1', 'ther'), ('q1', 'erin'), ('q2', 'ther'), ('q2', 'anea')) v(query_id, term) UNION ALL SELECT 'q4', word FROM fix),
+hit AS (SELECT query_id, p.doc_id, sum(ln((n_docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS s
+  FROM qterm JOIN post p USING (term) JOIN (SELECT term, count(*) AS df FROM post GROUP BY term) x USING (term) JOIN lens l ON l.doc_id = p.doc_id CROSS JOIN st GROUP BY query_id, p.doc_id),
+sc AS (SELECT c.query_id, c.doc_id, coalesce(s, 0.0) AS bm25 FROM cand c LEFT JOIN hit h ON h.query_id = c.query_id AND h.doc_id = c.doc_id),
+nm AS (SELECT query_id, doc_id, CASE WHEN max(bm25) OVER w = min(bm25) OVER w THEN 1.0 ELSE (bm25 - min(bm25) OVER w) / (max(bm25) OVER w - min(bm25) OVER w) END AS bn FROM sc WINDOW w AS (PARTITION BY query_id)),
+lex AS (SELECT query_id, doc_id, 0.85 * bn + 0.15 * coalesce(pn, 0.0) + CASE WHEN query_id = 'q3' THEN 2.0 ELSE 0.0 END AS score FROM nm LEFT JOIN prn USING (doc_id)),
+lexr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM lex)"""
+
+
+def typed_hits(spark, d):
+    ship_package(spark)
+    queries = spark.createDataFrame(TYPED, "query_id string, query string")
+    return batch.lexical(queries, index.Index.build(docs(spark, d)), ranks(spark, d), parsing.plain)
+
+
+@query(f"{PIPELINE} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM lexr")
+def eval_pipeline(spark, d):
+    return typed_hits(spark, d).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(
+    f"""{PIPELINE}, sims AS (SELECT q.query_id, e.vec_id AS doc_id, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS sim FROM embeddings e
+CROSS JOIN (SELECT 'q' || (vec_id + 1) AS query_id, embedding FROM embeddings WHERE vec_id < 5) q),
+others AS (SELECT s.query_id, s.doc_id, sim, row_number() OVER (PARTITION BY s.query_id ORDER BY round(sim, 9) DESC, s.doc_id) AS nth FROM sims s ANTI JOIN lex l ON l.query_id = s.query_id AND l.doc_id = s.doc_id),
+pool AS (SELECT l.query_id, l.doc_id, score AS base, coalesce(sim, 0.0) AS sim FROM lexr l LEFT JOIN sims s ON s.query_id = l.query_id AND s.doc_id = l.doc_id WHERE rank <= 30
+  UNION ALL SELECT query_id, doc_id, NULL, sim FROM others WHERE nth <= CASE WHEN query_id IN (SELECT query_id FROM lex) THEN 15 ELSE 30 END),
+normed AS (SELECT *, CASE WHEN max(sim) OVER w = min(sim) OVER w THEN 1.0 ELSE (sim - min(sim) OVER w) / (max(sim) OVER w - min(sim) OVER w) END AS sn,
+  CASE WHEN max(base) OVER w = min(base) OVER w THEN 1.0 ELSE (base - min(base) OVER w) / (max(base) OVER w - min(base) OVER w) END AS bn FROM pool WINDOW w AS (PARTITION BY query_id)),
+f AS (SELECT query_id, doc_id, CASE WHEN base IS NULL THEN sn ELSE 0.3::DOUBLE * bn + 0.7::DOUBLE * sn END AS score FROM normed)
+SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM f"""
+)
+def semantic_pipeline(spark, d):
+    """The typed queries re-ranked by meaning; the fifth has nothing to search for, and finds by meaning alone."""
+    e = table(spark, d, "embeddings")
+    asked = e.filter("vec_id < 5").select(F.concat(F.lit("q"), (F.col("vec_id") + 1).cast("string")).alias("query_id"), F.col("embedding").alias("q"))
+    sims = e.join(F.broadcast(asked)).select("query_id", F.col("vec_id").alias("doc_id"), semantic.dot(F.col("embedding"), F.col("q")).alias("sim"))
+    return batch.semantic(typed_hits(spark, d), sims).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"WITH {SIMS} SELECT row_number() OVER (ORDER BY round(sim, 9) DESC, doc_id) AS rank, doc_id, round(sim, 6) AS sim FROM sims QUALIFY rank <= 20")
+def embedding_store_topk(spark, d):
+    """The embeddings saved with the state of their source, loaded while it holds, and searched."""
+    e, path = table(spark, d, "embeddings"), f"{work_folder(spark)}/embeddings-{uuid.uuid4().hex}"
+    state = versions.source_state(e)
+    embeddings.save(e.select(F.col("vec_id").alias("doc_id"), "embedding"), path, state)
+    stored = embeddings.load(spark, path, state)
+    found = semantic.similarities(stored, stored.filter("doc_id = 0").select(F.col("embedding").alias("q")))
+    return results.top(found, 20, "sim").select("rank", "doc_id", F.round("sim", 6).alias("sim"))
+
+
+@query()
+def eval_report(spark, d):
+    return evaluation.report(eval_metrics(spark, d))
+
+
 GRID = f"(SELECT * FROM (VALUES {', '.join(f'({k}::DOUBLE)' for k in K1_GRID)}) a(k1) CROSS JOIN (VALUES {', '.join(f'({b}::DOUBLE)' for b in B_GRID)}) c(b)) g"
 
 

@@ -27,6 +27,17 @@ def titled(raw: DataFrame) -> DataFrame:
     )
 
 
+def page_texts(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_id, title, content`` of stored pages, nulls as empty; a missing table is an empty one."""
+    try:
+        rows = spark.read.parquet(path)
+    except Exception as e:  # only a path that isn't there
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "doc_id int, title string, content string")
+    return rows.select("doc_id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("title", "content")))
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterable
 from urllib.robotparser import RobotFileParser
 from urllib.parse import urlsplit
 
@@ -14,24 +15,39 @@ from lexiloom.config import CRAWL_DELAY_S
 from lexiloom.functions.web import CONTENT_TYPES
 from lexiloom.schemas import FETCHED
 
-RETRIED, RETRIES, PAGE_CAP = (429, 500, 502, 503, 504), 3, 5 << 20
+#: Statuses that are tried again, how often, the first wait in seconds (it doubles), and the most that is read of a page.
+RETRIED, RETRIES, BACKOFF_S, PAGE_CAP = (429, 500, 502, 503, 504), 3, 0.5, 5 << 20
 
 
-def fetch(urls: DataFrame, get: Callable[[str], tuple[int, str, bytes, str]]) -> DataFrame:
+def read_body(body: bytes | Iterable[bytes], cap: int = PAGE_CAP) -> bytes | None:
+    """A body given whole or in parts; None as soon as it is larger than the cap."""
+    parts, size = [], 0
+    for part in (body,) if isinstance(body, bytes) else body:
+        size += len(part)
+        if size > cap:
+            return None
+        parts.append(part)
+    return b"".join(parts)
+
+
+def fetch(urls: DataFrame, get: Callable[[str], tuple[int, str, bytes | Iterable[bytes], str]], wait: Callable[[float], None] = time.sleep) -> DataFrame:
     """Rows of ``FETCHED`` for pages of status 200, an accepted type and at most 5 MB.
 
-    ``get(url)``: status, content type, body and final URL; called again on passing failures."""
+    ``get(url)``: status, content type, body (whole, or parts as they come) and final URL; called again on passing
+    failures, after waits that double.  The body is read after status and type are known, and no further than the cap."""
 
     def run(batches):
         for b in batches:
             rows = []
             for url in b["url"]:
-                for _ in range(1 + RETRIES):
+                for k in range(1 + RETRIES):
+                    if k:
+                        wait(BACKOFF_S * 2 ** (k - 1))
                     status, kind, body, final = get(url)
                     if status not in RETRIED:
                         break
-                if status == 200 and kind.split(";")[0].strip().lower() in CONTENT_TYPES and len(body) <= PAGE_CAP:
-                    rows.append((url, body.decode("utf-8", "replace"), status, final, len(body)))
+                if status == 200 and kind.split(";")[0].strip().lower() in CONTENT_TYPES and (data := read_body(body)) is not None:
+                    rows.append((url, data.decode("utf-8", "replace"), status, final, len(data)))
             yield pd.DataFrame(rows, columns=["url", "html", "status_code", "final_url", "content_length"])
 
     return urls.select("url").mapInPandas(run, FETCHED)

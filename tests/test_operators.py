@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.config import BM25, PageRank, Semantic
-from lexiloom.operators import evaluation, graph, index, results, retrieval, scoring, semantic, tables
+from lexiloom.operators import evaluation, graph, index, results, retrieval, scoring, semantic, tables, versions
 from lexiloom.operators.parsing import StructuredQuery
 
 
@@ -73,7 +73,7 @@ def test_index_tables(spark, tmp_path):
     own.save(str(tmp_path / "index"), source="two")  # a new version is read from then on
     assert index.Index.load(spark, str(tmp_path / "index"), "two").postings.count() == 2
     for path, source in ((tmp_path / "index", "one"), (tmp_path / "none", None)):
-        with pytest.raises(index.StaleIndex):
+        with pytest.raises(versions.Stale):
             index.Index.load(spark, str(path), source)
     assert index.corpus_stats(own.lengths.filter("false")).first().avgdl == 0.0
     assert index.dump(own.postings).filter("term = 'alpha'").first().line == "alpha -> [Doc 1, TF=2, Pos=(0,2)]"

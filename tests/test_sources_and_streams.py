@@ -1,13 +1,14 @@
 import json
 import sqlite3
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.engine import SearchEngine
-from lexiloom.operators import tables
+from lexiloom.operators import embeddings, tables
 from lexiloom.sources import corpus, fetch, formats
-from lexiloom.streaming import streams
+from lexiloom.streaming import crawl, streams
 
 
 @pytest.fixture
@@ -62,6 +63,10 @@ def test_fetch_and_robots(spark):
 
     urls = spark.createDataFrame([("http://a/good",), ("http://a/bad",), ("http://a/img",)], "url string")
     assert [r.url for r in fetch.fetch(urls, get).collect()] == ["http://a/good"]
+    assert fetch.read_body([b"a" * 3, b"b" * 3], 5) is None and fetch.read_body([b"a", b"b"], 5) == b"ab" and fetch.read_body(iter([b"x" * 6, 1 / 1]), 5) is None
+    flaky = lambda url: (503, "text/html", b"", url)
+    slept = []
+    assert fetch.fetch(urls.limit(1), flaky, slept.append).count() == 0 and (fetch.RETRIES, fetch.BACKOFF_S) == (3, 0.5)
     robots = spark.createDataFrame([("a", "User-agent: *\nCrawl-delay: 2\nDisallow: /private/")], "host string, body string")
     asked = spark.createDataFrame([("http://a/x",), ("http://a/private/x",), ("http://b/private/x",), ("nohost",)], "url string")
     got = {r.url: (r.allowed, r.delay) for r in fetch.robots_verdicts(asked, robots).collect()}
@@ -124,3 +129,40 @@ def test_engine_on_a_saved_index(spark, tmp_path):
         assert len(rows) == 10 and [r for r, _ in rows] == list(range(10 * page - 9, 10 * page + 1))
     assert again.search("slat").did_you_mean == "salt" and again.search("salt", 2).total_pages == 3
     assert SearchEngine.open(frame, ranks, path, source="b").index.postings.inputFiles() != first.index.postings.inputFiles()
+
+
+def test_crawl_until_nothing_is_pending(spark, tmp_path):
+    web = {"http://a/1": '<a href="/2">x</a> one', "http://a/2": '<a href="/3">x</a><a href="/1">y</a> two', "http://a/3": "  ", "http://a/4": "never linked"}
+
+    def get(url):
+        return (200, "text/html", web[url].encode(), url) if url in web else (404, "text/html", b"", url)
+
+    store = crawl.CrawlStore(spark, str(tmp_path / "crawl"))
+    seeds = spark.createDataFrame([("http://a/1", "pending", 0), ("http://a/9", "pending", 0)], crawl.FRONTIER)
+    crawl.crawl(store, seeds, get)
+    assert {r.url for r in store.pages().collect()} == {"http://a/1", "http://a/2"}
+    assert {(r.src[-1], r.dst[-1]) for r in store.links().collect()} == {("1", "2"), ("2", "3"), ("2", "1")}
+    assert {(r.url[-1], r.status, r.depth) for r in store.frontier().collect()} == {("1", "visited", 0), ("9", "failed", 0), ("2", "visited", 1), ("3", "failed", 2)}
+    # A batch that was not published does not count; a seed already seen is not fetched again.
+    spark.createDataFrame([("http://a/7", "t", "c", 0)], crawl.PAGES).write.parquet(f"{tmp_path}/crawl/{'0' * 32}/pages")
+    crawl.crawl(crawl.CrawlStore(spark, str(tmp_path / "crawl")), seeds, lambda url: 1 / 0)
+    assert store.pages().count() == 2
+
+
+def test_embedding_store(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "x" * i) for i in range(5)] + [(9, None)], "doc_id long, text string")
+    seen = lambda texts: np.array([[len(t), 2.0 * len(t)] for t in texts])
+    made = embeddings.embed(docs, seen, batch=2)
+    got = {r.doc_id: r.embedding for r in made.collect()}
+    assert got[9] == [0.0, 0.0] and abs(sum(v * v for v in got[3]) - 1) < 1e-6 and len(got) == 6
+    path = str(tmp_path / "store")
+    assert embeddings.load(spark, path) is None
+    embeddings.save(made, path, "monday", "lengths")
+    assert embeddings.load(spark, path, "monday", "lengths").count() == 6
+    assert embeddings.load(spark, path, "tuesday") is None and embeddings.load(spark, path, model="others") is None
+
+
+def test_page_texts(spark, tmp_path):
+    assert corpus.page_texts(spark, str(tmp_path / "none")).count() == 0
+    spark.createDataFrame([(1, None, "c")], "doc_id int, title string, content string").write.parquet(str(tmp_path / "pages"))
+    assert [tuple(r) for r in corpus.page_texts(spark, str(tmp_path / "pages")).collect()] == [(1, "", "c")]
