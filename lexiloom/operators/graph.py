@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.config import PageRank
-from lexiloom.session import work_folder
+from lexiloom.session import delete, work_folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -16,7 +16,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_folder(spark)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.lexiloom_path = path
+    return out
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -44,33 +46,33 @@ def one_iteration(edges: DataFrame) -> DataFrame:
     return edges.join(out, "src").groupBy("dst").agg((F.lit(0.15) + F.lit(0.85) * F.sum(F.lit(1.0) / F.col("n"))).alias("score"))
 
 
-def pagerank(edges: DataFrame, params: PageRank = PageRank(), stop_early: bool = True, all_nodes: DataFrame | None = None, cut_every: int = 3) -> DataFrame:
+def pagerank(edges: DataFrame, params: PageRank = PageRank(), stop_early: bool = True, all_nodes: DataFrame | None = None) -> DataFrame:
     """``node, score``: uniform teleport, and the rank of nodes without links spread over all.
 
-    Edge weights are kept partitioned by source over the iterations; the sum of ranks that links do not
-    carry is one row, taken from the ranks in the same pass."""
-    every = (all_nodes or nodes(edges)).select("node").distinct().cache()
+    Edge weights stay partitioned by source.  A round is one join of them with the ranks and one of what they carry
+    with the ranks, written beside the old ones; how far they moved, and what the next round spreads, is one sum over it."""
+    spark = edges.sparkSession
+    every = cut_lineage((all_nodes or nodes(edges)).select("node").distinct())
     n = every.count()
     if not n:
         return every.withColumn("score", F.lit(0.0))
     w = weights(edges).repartition("src").cache()
     sources = w.select(F.col("src").alias("node")).distinct().withColumn("links", F.lit(True))
-    every = every.join(sources, "node", "left").select("node", F.coalesce("links", F.lit(False)).alias("links")).cache()
-    ranks = every.select("node", "links", F.lit(1.0 / n).alias("score"))
-    for i in range(1, params.iterations + 1):
-        dangling = ranks.agg(F.coalesce(F.sum(F.when(~F.col("links"), F.col("score"))), F.lit(0.0)).alias("dangling"))
+    ranks = cut_lineage(every.join(sources, "node", "left").select("node", F.coalesce("links", F.lit(False)).alias("links"), F.lit(1.0 / n).alias("score")))
+    unlinked = F.coalesce(F.sum(F.when(~F.col("links"), F.col("score"))), F.lit(0.0)).alias("unlinked")
+    spread = ranks.agg(unlinked).first()["unlinked"]
+    for _ in range(params.iterations):
         carried = w.join(ranks.select(F.col("node").alias("src"), "score"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("weight")).alias("carried"))
-        new = every.join(carried, "node", "left").join(F.broadcast(dangling)).select(
-            "node", "links", ((1 - params.damping) / n + params.damping * (F.coalesce("carried", F.lit(0.0)) + F.col("dangling") / n)).alias("score")
-        )
-        if i % cut_every == 0 or stop_early:
-            new = cut_lineage(new)
-        if stop_early:
-            moved = new.join(ranks.select("node", F.col("score").alias("old")), "node").agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
-            if moved < params.tolerance:
-                ranks = new
-                break
-        ranks = new
+        score = (1 - params.damping) / n + params.damping * (F.coalesce("carried", F.lit(0.0)) + F.lit(spread) / n)
+        new = cut_lineage(ranks.join(carried, "node", "left").select("node", "links", F.col("score").alias("old"), score.alias("score")))
+        delete(spark, ranks.lexiloom_path)
+        got = new.agg(F.sum(F.abs(F.col("score") - F.col("old"))).alias("moved"), unlinked).first()
+        path = new.lexiloom_path
+        ranks, spread = new.select("node", "links", "score"), got["unlinked"]
+        ranks.lexiloom_path = path
+        if stop_early and got["moved"] < params.tolerance:
+            break
+    w.unpersist()
     return ranks.select("node", "score")
 
 
