@@ -131,3 +131,33 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in packed} == set(out[3])
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "quality classifier", "MinHash near-dedup", "suffix-array dedup", "best-fit packing"]
     assert minhash.WORDS == 5 and minhash.PERCENT == 80 and suffix_dedup.LEAST == 100
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Repeated rows, ties, null ids and texts, a very long text, clashing columns; and an empty table."""
+    rng = np.random.default_rng(31)
+    vocab = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(900)]
+    prose = lambda n: " ".join(rng.choice(vocab, n))
+    texts = [prose(60) for _ in range(40)]
+    long = prose(200_000)
+    rows = [(i, t, "en", "s", len(t), "kept") for i, t in enumerate(texts)]
+    rows += [rows[3], rows[3], (3, prose(70), "en", "s", 1, "kept"), (45, texts[5], "en", "s", 1, "kept"), (None, texts[7], None, None, None, "kept"), (None, prose(50), None, None, None, "kept")]
+    rows += [(50, None, "en", "s", None, "kept"), (51, "", "en", "s", 0, "kept"), (52, long, "en", "s", len(long), "kept"), (53, long + " end", None, "s", None, "kept")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, length string"
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out, now = [], docs
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        now = stage(spark, now, str(tmp_path)).cache()
+        assert now.columns == docs.columns
+        out.append(now.collect())
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in out[0]) == sorted((r[0] is None, r[0] or 0) for r in rows if r[0] not in (50, 51))
+    ids = sorted((r.doc_id is None, r.doc_id or 0) for r in out[2])
+    assert ids == sorted([(False, i) for i in [*range(40), 3, 52]] + [(True, 0)])  # one of each group: copies, a repeated id, a null id
+    assert sorted(r.text for r in out[3]) == sorted(r.text for r in out[2]) and {r.length for r in out[3]} == {"kept"}
+    packed = corpus_pipeline.STAGES[4][1](spark, now, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in out[3]} and max(r.piece for r in packed) > 50
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, str(tmp_path))
+        assert empty.count() == 0
