@@ -134,6 +134,7 @@ def test_near_duplicates(spark, monkeypatch, words, percent):
     rows += [(100 + i, " ".join(rng.choice(vocab) for _ in range(40))) for i in range(20)]
     rows += [(200, None), (201, ""), (202, " \t\n"), (203, "one"), (204, "ONE"), (205, "one two"), (206, "É é"), (207, "é é"), (208, rows[0][1]), (209, "x y"), (210, "tok " * 5000)]
     monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 1500)  # several blocks a cluster
+    monkeypatch.setattr(minhash, "STAR", 7)  # and several tasks a bucket
     near(spark, rows, words, percent)
     monkeypatch.setattr(minhash, "MATRIX_BYTES", 0)
     near(spark, rows[:40], words, percent)
