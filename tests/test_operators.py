@@ -1,10 +1,11 @@
+import json
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.config import BM25, PageRank, Semantic
-from lexiloom.operators import evaluation, graph, index, results, retrieval, scoring, semantic, tables, versions
+from lexiloom.operators import batch, evaluation, graph, index, parsing, results, retrieval, scoring, semantic, tables, versions
 from lexiloom.operators.parsing import StructuredQuery
 
 
@@ -167,3 +168,57 @@ def test_breadth_first_ends_by_itself(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (5, 6)], "src long, dst long")
     got = graph.bfs(edges, spark.createDataFrame([(1,)], "node long")).collect()
     assert {r.node: r.depth for r in got} == {1: 0, 2: 1, 3: 2}
+
+
+def test_pagerank_of_documents(spark):
+    """By power iteration over a matrix; two documents are linked with nothing, one link leads to no document."""
+    docs = spark.createDataFrame([(i,) for i in range(7)], "doc_id long")
+    edges = [(0, 1), (0, 2), (1, 2), (2, 0), (3, 2), (3, 2), (4, 99)]
+    got = {r.doc_id: r.pagerank for r in graph.document_pagerank(spark.createDataFrame(edges, "src long, dst long"), docs).collect()}
+    to = {i: sorted({b for a, b in edges if a == i and b < 7}) for i in range(7)}
+    ranks = [1 / 7] * 7
+    for _ in range(300):
+        loose = sum(r for i, r in enumerate(ranks) if not to[i]) / 7
+        new = [0.15 / 7 + 0.85 * loose] * 7
+        for i, targets in to.items():
+            for j in targets:
+                new[j] += 0.85 * ranks[i] / len(targets)
+        ranks = new
+    assert set(got) == set(range(7)) and sum(abs(got[i] - ranks[i]) for i in range(7)) < 1e-4
+
+
+def test_report_and_judgments(spark, tmp_path):
+    per = spark.createDataFrame([("b", "x", 0.5, 1.0, 0.25), ("a", "y", 0.0, 0.0, 0.0)], "query_id string, qtype string, p_at_k double, mrr double, ndcg_at_k double")
+    evaluation.write_report(evaluation.report(per), str(tmp_path / "report"))
+    got = json.loads(spark.read.text(str(tmp_path / "report")).first().value)
+    assert [q["query_id"] for q in got["queries"]] == ["a", "b"] and {r["qtype"]: r["n"] for r in got["summary"]} == {"overall": 2, "x": 1, "y": 1}
+    assert next(r for r in got["summary"] if r["qtype"] == "overall")["p_at_k"] == 0.25
+    docs = spark.createDataFrame([(1, "Salt guide", "a"), (2, "PEPPER", "b"), (3, None, None)], "doc_id long, title string, kind string")
+    rules = spark.createDataFrame([("q", "salt"), ("q", "guide"), ("r", "pepper")], "query_id string, part string")
+    assert {tuple(r) for r in evaluation.judged_by_title(docs, rules).collect()} == {("q", 1), ("r", 2)}
+    kinds = spark.createDataFrame([("q", "b")], "query_id string, category string")
+    assert [tuple(r) for r in evaluation.judged_by_category(docs, kinds, "kind").collect()] == [("q", 2)]
+    bars = results.signals(spark.createDataFrame([(1.7,), (-0.2,), (0.456,), (None,)], "s double"), ["s"]).collect()
+    assert [r.s_percent for r in bars] == [100, 0, 46, None]
+
+
+def test_query_tables_agree_with_single_queries(spark):
+    texts = [(1, "alpha beta gamma"), (2, "beta alpha"), (3, "alpha x1 beta"), (4, "delta"), (5, "alpha beta alpha beta")]
+    own = index.Index.build(spark.createDataFrame(texts, "doc_id long, text string"))
+    ranks = spark.createDataFrame([(1, 0.5), (2, 0.1), (5, 0.9)], "doc_id long, pagerank double")
+    queries = ["alpha", "alpha AND gamma", "alpha OR delta NOT beta", '"alpha beta"', '"alpha beta" NOT "beta gamma"', "alpha AND gamma OR delta", "gamma AND missing OR delta", "NOT alpha"]
+    rows = spark.createDataFrame(list(enumerate(queries)), "query_id int, query string")
+    got = {}
+    for r in batch.lexical(rows, own, ranks, parsing.plain, correct=False).collect():
+        got.setdefault(r.query_id, {})[r.doc_id] = round(r.score, 9)
+    for i, text in enumerate(queries):
+        q = parsing.parse(text, parsing.plain)
+        want = {}
+        if q.searchable:
+            found = retrieval.retrieve(own.postings, own.lengths, q)
+            hits = None
+            for p in q.phrases:
+                hits = retrieval.phrase(own.postings, p)
+            scored = scoring.bm25(found, own.postings, own.lengths, own.stats, q.scored_terms)
+            want = {r.doc_id: round(r.score, 9) for r in scoring.fuse(scored, ranks, hits).collect()}
+        assert got.get(i, {}) == want, text
