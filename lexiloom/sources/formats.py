@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import sqlite3
 import struct
 from collections.abc import Iterator
@@ -135,48 +137,67 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(BinaryIndexSource)
 
 
-def _sized(rows: list[bytes]) -> bytes:
-    return struct.pack("<Q", len(rows)) + b"".join(rows)
+class _Section:
+    """A section of the file while it is written, in a file of its own beside it: a count, then entries."""
+
+    def __init__(self, path: str, counted: bool = True):
+        self.path, self.n, self.counted = path, 0, counted
+        self.file = open(path, "wb")  # noqa: SIM115
+
+    def add(self, entry: bytes) -> None:
+        self.file.write(entry)
+        self.n += 1
+
+    def close(self) -> int:
+        """Its size in the index file."""
+        self.file.close()
+        return os.path.getsize(self.path) + 8 * self.counted
+
+    def copy_to(self, out) -> None:
+        if self.counted:
+            out.write(struct.pack("<Q", self.n))
+        with open(self.path, "rb") as f:
+            shutil.copyfileobj(f, out)
+        os.unlink(self.path)
 
 
 def write_index(path: str, posted: DataFrame, docs: DataFrame) -> None:
     """Write the binary index of ``term, doc_id, positions`` and ``doc_id, dl, url, pagerank``.
 
     One file in byte order of terms needs one writer: rows come to the driver in that order, a partition
-    at a time, and only this interchange format is made so; the engine's own index is Parquet."""
-    pool, positions, dictionary, start, last, count = [], [], [], 0, None, 0
+    at a time, and go to their sections' files at once, which are then put together; the index file appears
+    when it is whole.  Only this interchange format is made so; the engine's own index is Parquet."""
+    parts = {name: _Section(f"{path}.{name}", name != "stats") for name in SECTIONS}
+    text = lambda s: struct.pack("<Q", len(s.encode())) + s.encode()
+    start, last, at = 0, None, 0
 
     def close() -> None:
         if last is not None:
-            word = last.encode()
-            dictionary.append(struct.pack("<Q", len(word)) + word + struct.pack("<II", start, count))
+            parts["dictionary"].add(text(last) + struct.pack("<II", start, parts["postings"].n - start))
 
-    at = 0
-    for row in posted.orderBy("term", "doc_id").toLocalIterator():
+    for row in posted.select("term", "doc_id", "positions").orderBy("term", "doc_id").toLocalIterator():
         if row.term != last:
             close()
-            last, start, count = row.term, len(pool), 0
-        count += 1
-        own = list(row.positions)
-        pool.append(varint(row.doc_id) + varint(len(own)) + varint(at))
-        positions += [varint(p - q) for p, q in zip(own, [0, *own])]
-        at += len(own)
+            last, start = row.term, parts["postings"].n
+        parts["postings"].add(varint(row.doc_id) + varint(len(row.positions)) + varint(at))
+        for p, q in zip(row.positions, [0, *row.positions]):
+            parts["positions"].add(varint(p - q))
+        at += len(row.positions)
     close()
-    rows = list(docs.orderBy("doc_id").toLocalIterator())
-    total = sum(r.dl for r in rows)
-    text = lambda s: struct.pack("<Q", len(s.encode())) + s.encode()
-    parts = [
-        struct.pack("<dQ", total / len(rows) if rows else 0.0, len(rows)),
-        _sized(pool),
-        _sized(positions),
-        _sized([struct.pack("<iI", r.doc_id, r.dl) for r in rows]),
-        _sized(dictionary),
-        _sized([struct.pack("<i", r.doc_id) + text(r.url) for r in rows]),
-        _sized([struct.pack("<if", r.doc_id, r.pagerank) for r in rows]),
-    ]
+    total = 0
+    for r in docs.select("doc_id", "dl", "url", "pagerank").orderBy("doc_id").toLocalIterator():
+        total += r.dl
+        parts["doc_lengths"].add(struct.pack("<iI", r.doc_id, r.dl))
+        parts["urls"].add(struct.pack("<i", r.doc_id) + text(r.url))
+        parts["pageranks"].add(struct.pack("<if", r.doc_id, r.pagerank))
+    n = parts["doc_lengths"].n
+    parts["stats"].add(struct.pack("<dQ", total / n if n else 0.0, n))
     offset, offsets = 8 + 4 + 8 * len(SECTIONS), []
-    for p in parts:
+    for name in SECTIONS:
         offsets.append(offset)
-        offset += len(p)
-    with open(path, "wb") as f:
-        f.write(MAGIC + struct.pack("<I", VERSION) + struct.pack(f"<{len(offsets)}Q", *offsets) + b"".join(parts))
+        offset += parts[name].close()
+    with open(f"{path}.whole", "wb") as f:
+        f.write(MAGIC + struct.pack("<I", VERSION) + struct.pack(f"<{len(offsets)}Q", *offsets))
+        for name in SECTIONS:
+            parts[name].copy_to(f)
+    os.replace(f"{path}.whole", path)
