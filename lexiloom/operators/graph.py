@@ -2,23 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.config import PageRank
-from lexiloom.session import delete, work_folder
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again, so that the plan does not grow with each round."""
-    spark = df.sparkSession
-    path = f"{work_folder(spark)}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.lexiloom_path = path
-    return out
+from lexiloom.session import cut_lineage, delete
 
 
 def nodes(edges: DataFrame) -> DataFrame:

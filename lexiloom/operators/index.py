@@ -128,10 +128,10 @@ class Index:
     analyzer: str = "plain"
 
     @staticmethod
-    def build(docs: DataFrame, analyzer: str = "plain", text: str = "text") -> Index:
+    def build(docs: DataFrame, analyzer: str = "plain", text: str = "text", spelling: bool = True) -> Index:
         rows = tokens(docs, "plain" if analyzer == "query" else analyzer, text)
         lengths, vocab = doc_lengths(rows), vocabulary(docs, text)
-        return Index(postings(rows, stemmed=analyzer == "query"), lengths, corpus_stats(lengths), vocab, deletions(vocab), analyzer)
+        return Index(postings(rows, stemmed=analyzer == "query"), lengths, corpus_stats(lengths), vocab, deletions(vocab) if spelling else None, analyzer)
 
     def save(self, path: str, parts: int | None = None, source: str = "") -> None:
         """Write a new version; ``source`` says which state of the documents it is of."""
@@ -144,6 +144,7 @@ class Index:
         corpus_stats(lengths).write.parquet(f"{at}/stats")
         if self.vocab is not None:
             self.vocab.repartitionByRange("word").sortWithinPartitions("word").write.parquet(f"{at}/vocab")
+        if self.deletions is not None:
             words = deletions(spark.read.parquet(f"{at}/vocab"))
             words.repartitionByRange("key").sortWithinPartitions("key").write.parquet(f"{at}/deletions")
         versions.publish(spark, path, MAGIC, VERSION, folder, self.analyzer, lengths.count(), source)
@@ -153,13 +154,16 @@ class Index:
         """The newest version; with ``source`` it must be of that state."""
         own = versions.newest(spark, path, MAGIC, VERSION, source)
         read = lambda name: spark.read.parquet(f"{path}/{own['folder']}/{name}")
-        try:
-            vocab, found = read("vocab"), read("deletions")
-        except Exception as e:  # an index without a vocabulary
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            vocab = found = None
-        return Index(read("postings"), read("lengths"), read("stats"), vocab, found, own["details"])
+
+        def perhaps(name: str) -> DataFrame | None:
+            try:
+                return read(name)
+            except Exception as e:  # an index saved without it
+                if "PATH_NOT_FOUND" not in str(e):
+                    raise
+                return None
+
+        return Index(read("postings"), read("lengths"), read("stats"), perhaps("vocab"), perhaps("deletions"), own["details"])
 
 
 def dump(posted: DataFrame) -> DataFrame:

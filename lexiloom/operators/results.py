@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.config import MAX_PAGE_SIZE, PAGE_SIZE, SNIPPET_WINDOW, SUGGEST_LIMIT
+from lexiloom.session import cut_lineage
 
 
 def order(score: str = "score", key: str = "doc_id") -> list[Column]:
@@ -22,6 +23,7 @@ def top(scored: DataFrame, k: int, score: str = "score", key: str = "doc_id") ->
 def ranked(scored: DataFrame, score: str = "score", key: str = "doc_id", ranges: int = 64) -> DataFrame:
     """All rows with their rank, without one task for all: scores fall into ranges of equal width, and a rank is
     the place in its range after the rows of better ranges, whose counts are few."""
+    scored = cut_lineage(scored)  # it is read three times
     bounds = scored.agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
     own = F.floor((F.col("_hi") - F.round(score, 9)) * ranges / F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(1.0))
     dealt = scored.join(F.broadcast(bounds)).withColumn("_r", F.coalesce(own, F.lit(ranges))).drop("_lo", "_hi")
@@ -33,6 +35,7 @@ def ranked(scored: DataFrame, score: str = "score", key: str = "doc_id", ranges:
 
 def head_and_rest(scored: DataFrame, k: int, score: str = "score", key: str = "doc_id") -> DataFrame:
     """The first ``k`` with their rank, and the rest with a rank beyond: enough where only the head is ordered."""
+    scored = cut_lineage(scored)
     head = top(scored, k, score, key)
     rest = scored.join(F.broadcast(head.select(key)), key, "left_anti").withColumn("rank", F.lit(k + 1))
     return head.unionByName(rest)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
 
@@ -52,6 +53,16 @@ def work_folder(spark: SparkSession) -> str:
     return out
 
 
+def cut_lineage(df: DataFrame, label: str = "table") -> DataFrame:
+    """``df`` written to the shared folder and read again: it is worked out once, however often it is read."""
+    spark = df.sparkSession
+    path = f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.lexiloom_path = path
+    return out
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table that nothing reads any more."""
     _delete(spark._jvm, spark._jsc.hadoopConfiguration(), path)
